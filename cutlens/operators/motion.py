@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from cutlens.functions.geometry import clamp_inside, rect, scaled, union
 from cutlens.operators.ordered import positions
+from cutlens.session import cut_lineage
 
 PAIR = ["video_id", "shot_idx", "pair"]
 MIN_POINTS = 8
 
 
-def flow_gate(flow: DataFrame, aspect: float = 1.0) -> DataFrame:
-    """Keep finite vectors shorter than a third of the frame inside the 10 % margin, and only
-    pairs with at least eight of them. ``aspect`` is height over width."""
+def steady_vectors(flow: DataFrame, aspect: float = 1.0) -> DataFrame:
+    """Finite vectors shorter than a third of the frame whose source lies inside the 10 % margin."""
     dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
-    finite = ~F.isnan(dx) & ~F.isnan(dy)
     inside = F.col("sx").between(0.1, 0.9) & F.col("sy").between(0.1 * aspect, 0.9 * aspect)
-    gated = flow.filter(finite & (F.abs(dx) < 1 / 3) & (F.abs(dy) < aspect / 3) & inside)
+    return flow.filter(~F.isnan(dx) & ~F.isnan(dy) & (F.abs(dx) < 1 / 3) & (F.abs(dy) < aspect / 3) & inside)
+
+
+def flow_gate(flow: DataFrame, aspect: float = 1.0) -> DataFrame:
+    """Steady vectors of the pairs that have at least eight of them. ``aspect`` is height over width."""
+    gated = steady_vectors(flow, aspect)
     enough = gated.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n >= {MIN_POINTS}").select(*PAIR)
     return gated.join(enough, PAIR, "left_semi")
 
@@ -65,14 +69,14 @@ def _errors(points: DataFrame, fits: DataFrame) -> DataFrame:
     return points.join(fits, PAIR).withColumn("error", F.sqrt(ex * ex + ey * ey))
 
 
-def similarity_fit(flow: DataFrame, keep: float = 0.8) -> DataFrame:
-    """Fit, drop the worst fifth, refit. One row per pair with at least three points."""
-    first = _solve(flow)
-    scored = _errors(flow, first.filter("n > 0").withColumn("keep_rows", F.greatest(F.lit(3), F.floor(F.col("n") * keep))))
-    ranked = positions(
-        scored.select(*PAIR, "point_id", "sx", "sy", "tx", "ty", "error", "keep_rows"),
-        PAIR, ["error", "point_id"], F.floor(F.col("error") * 64), out="_pos",
-    )
+def similarity_fit(points: DataFrame, keep: float = 0.8, min_points: int = 3) -> DataFrame:
+    """Fit, drop the worst fifth, refit. One row per pair with at least ``min_points`` points;
+    with steady vectors and 8 this includes the gate without another pass."""
+    first = _solve(points).filter(F.col("n") >= max(3, min_points))
+    scored = cut_lineage(
+        _errors(points, first.withColumn("keep_rows", F.greatest(F.lit(3), F.floor(F.col("n") * keep))))
+        .select(*PAIR, "point_id", "sx", "sy", "tx", "ty", "error", "keep_rows"))
+    ranked = positions(scored, PAIR, ["error", "point_id"], F.floor(F.col("error") * 64), out="_pos")
     trimmed = ranked.filter(F.col("_pos") < F.col("keep_rows")).select(*PAIR, "sx", "sy", "tx", "ty")
     second = _solve(trimmed)
     residuals = _errors(trimmed, second).groupBy(*PAIR).agg(F.avg("error").alias("residual"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutlens.functions import constants as K
 from cutlens.functions import labels
@@ -41,7 +42,7 @@ def slope_by(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _absorb(bands: pd.Series, sizes: pd.Series, left: pd.Series, right: pd.Series, min_run: pd.Series) -> pd.Series:
     """Bands of a stretch of short runs after they are absorbed by their neighbours."""
 

@@ -141,7 +141,7 @@ def _runs(marked: DataFrame, options: ShotOptions) -> DataFrame:
 
 def detect_gradual(frames: DataFrame, thumbs: DataFrame, options: ShotOptions = ShotOptions()) -> DataFrame:
     """Fades and dissolves. ``thumbs(video_id, frame_idx, thumb)`` are equally sized luma arrays."""
-    return _gradual(mark_cuts(frames, options), thumbs, options)
+    return _gradual(cut_lineage(mark_cuts(frames, options)), thumbs, options)
 
 
 def _gradual(marked: DataFrame, thumbs: DataFrame, options: ShotOptions) -> DataFrame:
@@ -167,25 +167,20 @@ def _gradual(marked: DataFrame, thumbs: DataFrame, options: ShotOptions) -> Data
         F.least(F.lit(0.92), 0.60 + (options.flat_std - flat["luma_std"]) * 6).alias("confidence"),
         F.format_string("luma std dev fell to %.3f over %d frames, mean %.2f", flat["luma_std"], "n_frames", flat["luma_mean"]).alias("basis"),
     )
-    ends = lambda idx, name: thumbs.select("video_id", F.col("frame_idx").alias(idx), F.col("thumb").alias(name))
-    candidates = (
-        runs.filter(~is_fade)
-        .join(ends("start_idx", "from_thumb"), ["video_id", "start_idx"])
-        .join(ends("end_idx", "to_thumb"), ["video_id", "end_idx"])
-        .filter(color.mean_abs_difference(F.col("from_thumb"), F.col("to_thumb")) >= options.endpoint_difference)
-    )
-    # a run lasts at most max_gradual seconds, so this expands to a bounded number of frames
-    inner = candidates.withColumn("frame_idx", F.explode(F.sequence(F.col("start_idx") + 1, F.col("end_idx") - 1)))
-    alpha = (F.col("frame_idx") - F.col("start_idx")) / (F.col("end_idx") - F.col("start_idx"))
-    residuals = (
-        inner.join(thumbs.select("video_id", "frame_idx", "thumb"), ["video_id", "frame_idx"])
+    # One pass over the thumbnails: a run lasts at most max_gradual seconds, so the pictures it
+    # needs, both ends included, are a short list.
+    wanted = runs.filter(~is_fade).withColumn("frame_idx", F.explode(F.sequence("start_idx", "end_idx")))
+    pictures = (
+        wanted.join(thumbs.select("video_id", "frame_idx", "thumb"), ["video_id", "frame_idx"])
         .groupBy("video_id", "run")
-        .agg(
-            F.avg(color.blend_residual(F.col("thumb"), F.col("from_thumb"), F.col("to_thumb"), alpha)).alias("residual"),
-            *[F.first(c).alias(c) for c in ("first_idx", "end_t", "seconds", "n_frames")],
-        )
-        .filter(F.col("residual") <= options.dissolve_residual)
+        .agg(F.sort_array(F.collect_list(F.struct("frame_idx", "thumb"))).alias("pics"),
+             *[F.first(c).alias(c) for c in ("first_idx", "end_t", "seconds", "n_frames")])
+        .withColumn("_a", F.get("pics", F.lit(0))["thumb"]).withColumn("_b", F.element_at("pics", -1)["thumb"])
+        .filter(color.mean_abs_difference(F.col("_a"), F.col("_b")) >= options.endpoint_difference)
     )
+    inner = F.slice("pics", F.lit(2), F.size("pics") - 2)
+    residual = F.transform(inner, lambda p, i: color.blend_residual(p["thumb"], F.col("_a"), F.col("_b"), (i + 1) / (F.size("pics") - 1)))
+    residuals = pictures.withColumn("residual", color.array_mean(residual)).filter(F.col("residual") <= options.dissolve_residual)
     dissolves = residuals.select(
         "video_id", F.col("first_idx").alias("frame_idx"), F.lit("dissolve").alias("kind"), F.col("end_t").alias("t"),
         F.col("seconds").alias("duration"),
@@ -197,7 +192,8 @@ def _gradual(marked: DataFrame, thumbs: DataFrame, options: ShotOptions) -> Data
 
 def candidate_boundaries(frames: DataFrame, thumbs: DataFrame | None = None, options: ShotOptions = ShotOptions()) -> DataFrame:
     """Start, cuts and gradual transitions of every video, before merging."""
-    marked = mark_cuts(frames, options)
+    # measured once, read by the start, cut and gradual branches
+    marked = cut_lineage(mark_cuts(frames, options))
     counted = marked.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
     starts = counted.select(
         "video_id", F.lit(-1).cast("bigint").alias("frame_idx"), F.lit("start").alias("kind"), F.lit(0.0).alias("t"),
@@ -219,7 +215,7 @@ def merge_boundaries(boundaries: DataFrame, durations: DataFrame, min_shot: floa
     """
     rank = F.when(F.col("kind") == "start", 0).when(F.col("kind") == "cut", 1).otherwise(2)
     ordered = positions(
-        boundaries.withColumn("_rank", rank), VIDEO, ["t", "_rank", "frame_idx"], F.floor(F.col("t") / 600.0)
+        cut_lineage(boundaries.withColumn("_rank", rank)), VIDEO, ["t", "_rank", "frame_idx"], F.floor(F.col("t") / 600.0)
     ).drop("_rank")
     gapped = with_neighbours(ordered, VIDEO, "pos", 1, 0, lambda w: {"_gap": F.col("t") - F.lag("t").over(w)})
     clustered = running_sum(
