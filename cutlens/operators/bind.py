@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cutlens.functions import color, geometry as g, labels
 from cutlens.functions import text as txt
-from cutlens.operators.timeline import relayout, scene_durations
+from cutlens.operators.timeline import relayout, scene_durations, with_fill_window
 
 RECT = "struct<x:double,y:double,w:double,h:double>"
 
@@ -33,13 +33,15 @@ class BindOptions:
         return self.fidelity == "structureOnly"
 
 
-def resolve_crop(move: Column, has_asset: Column, source_aspect: Column, target_aspect: Column, region: Column,
-                 subject: Column, framing: Column, binds_moves: bool = True) -> tuple[Column, Column]:
-    """Start and end crop of a clip: the trusted move laid into the asset's fill window."""
+def with_crops(df: DataFrame, move: Column, has_asset: Column, source_aspect: Column, target_aspect: Column, region: Column,
+               subject: Column, framing: Column, binds_moves: bool = True) -> DataFrame:
+    """Add ``crop_start`` and ``crop_end``: the trusted move laid into the asset's fill window."""
     moving = F.lit(binds_moves) & labels.is_trusted(move["confidence"]) & (move["kind"] != "none")
-    raw = [F.when(moving, move[end]).otherwise(g.full()) for end in ("start", "end")]
-    window = g.fill_window(source_aspect, target_aspect, region, subject["value"], subject["confidence"], framing["value"], framing["confidence"])
-    return tuple(F.when(has_asset, g.compose(window, r)).otherwise(r) for r in raw)
+    framed = with_fill_window(df, "_window", source_aspect, target_aspect, region, subject["value"], subject["confidence"], framing["value"], framing["confidence"])
+    for end in ("start", "end"):
+        framed = framed.withColumn("_raw", F.when(moving, move[end]).otherwise(g.full())).withColumn(
+            f"crop_{end}", F.when(has_asset, g.compose(F.col("_window"), F.col("_raw"))).otherwise(F.col("_raw")))
+    return framed.drop("_window", "_raw")
 
 
 def bind_clips(scenes: DataFrame, assignments: DataFrame, assets: DataFrame, features: DataFrame, projects: DataFrame,
@@ -63,8 +65,8 @@ def bind_clips(scenes: DataFrame, assignments: DataFrame, assets: DataFrame, fea
         .join(features.select("project_id", "asset_id", "region"), ["project_id", "asset_id"], "left")
         .join(projects.select("project_id", "canvas_aspect", "clip_volume"), "project_id")
     )
-    crop_start, crop_end = resolve_crop(
-        F.col("move"), F.col("kind").isNotNull(), F.col("aspect"), F.col("canvas_aspect"), F.col("region"), F.col("subject"), F.col("framing"),
+    rows = with_crops(
+        rows, F.col("move"), F.col("kind").isNotNull(), F.col("aspect"), F.col("canvas_aspect"), F.col("region"), F.col("subject"), F.col("framing"),
         not options.structure_only)
     tr = F.col("transition")
     kind = labels.effective(tr["kind"], tr["confidence"], "cut")
@@ -78,7 +80,7 @@ def bind_clips(scenes: DataFrame, assignments: DataFrame, assets: DataFrame, fea
         "slot_id", "asset_id", "start", F.col("seconds").alias("duration"),
         F.when(video, F.least(F.lit(0.25), F.greatest(F.lit(0.0), F.col("asset_seconds") - F.col("seconds")))).otherwise(F.lit(0.0)).alias("source_start"),
         F.lit(1.0).alias("speed"), F.lit(1.0).alias("opacity"), F.when(video, F.col("clip_volume")).otherwise(F.lit(0.0)).alias("volume"),
-        crop_start.alias("crop_start"), crop_end.alias("crop_end"), F.col("move.easing").alias("easing"), bound.alias("transition"),
+        "crop_start", "crop_end", F.col("move.easing").alias("easing"), bound.alias("transition"),
         F.coalesce(grade, color.grade(0.0, 1.0, 1.0, 0.0)).alias("grade"), F.lit(0.0).alias("vignette"), F.lit(0.0).alias("grain"), F.lit("fill").alias("fit"))
     return relayout(clips, options.fps)
 

@@ -19,6 +19,16 @@ PROJECT = ["project_id"]
 FPS = 30
 
 
+def with_fill_window(df: DataFrame, out: str, source_aspect: Column, target_aspect: Column, subject: Column, reference: Column,
+                     reference_confidence: Column, framing: Column, framing_confidence: Column) -> DataFrame:
+    """Add the fill window step by step, so that no step is evaluated more than once per row."""
+    w, h = g.fill_size(source_aspect, target_aspect)
+    sized = df.withColumn("_fw", w).withColumn("_fh", h).withColumn(
+        "_k", F.when(subject.isNull(), F.lit(1.0)).otherwise(g.tighten_factor(framing, framing_confidence, subject, F.col("_fw"), F.col("_fh"))))
+    narrowed = sized.withColumn("_fw", F.col("_fw") * F.col("_k")).withColumn("_fh", F.col("_fh") * F.col("_k"))
+    return narrowed.withColumn(out, g.place_window(F.col("_fw"), F.col("_fh"), subject, reference, reference_confidence)).drop("_fw", "_fh", "_k")
+
+
 def relayout(clips: DataFrame, fps: int = FPS) -> DataFrame:
     """Gapless frame-aligned starts, at least one frame per clip.
 
@@ -225,16 +235,16 @@ def scratch_timeline(assets: DataFrame, seconds: float = 2.0, fps: int = FPS, vo
     return relayout(clips, fps)
 
 
-def retarget_canvas(clips: DataFrame, assets: DataFrame, target_aspect: float, relax: bool = True) -> DataFrame:
+def retarget_canvas(clips: DataFrame, assets: DataFrame, target_aspect: float) -> DataFrame:
     """New crops for another canvas aspect; a push in is kept down to .62.
 
     ``assets(project_id, asset_id, aspect, region)``. Clips without an asset are left out.
     """
     rows = clips.join(assets, ["project_id", "asset_id"])
-    window = g.fill_window(F.col("aspect"), F.lit(target_aspect), F.col("region"), F.lit(None).cast("struct<x:double,y:double,w:double,h:double>"),
-                           F.lit(0.0), F.lit("medium"), F.lit(0.0))
+    nothing = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
     zoom = F.col("crop_end.w") / F.greatest(F.lit(0.01), F.col("crop_start.w"))
-    sized = rows.withColumn("new_start", window).withColumn("_zoom", zoom)
+    framed = with_fill_window(rows, "new_start", F.col("aspect"), F.lit(target_aspect), F.col("region"), nothing, F.lit(0.0), F.lit("medium"), F.lit(0.0))
+    sized = framed.withColumn("_zoom", zoom)
     tight = g.clamp_inside(g.scaled(F.col("new_start"), F.greatest(F.lit(0.62), F.least(F.lit(1.0), F.col("_zoom")))))
     return sized.select("project_id", "pos", "clip_id", "new_start", F.when(F.col("_zoom") < 1, tight).otherwise(F.col("new_start")).alias("new_end"))
 

@@ -69,8 +69,6 @@ def main() -> None:
     args = sys.argv[1:]
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = local_session(8)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     jobs, sqls = queries(), oracle_sql()
