@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from cutlens.functions import constants as K
 from cutlens.functions import labels
 from cutlens.functions.geometry import full, scaled_full
-from cutlens.operators.ordered import asof, positions, running_sum, with_entity, with_neighbours
+from cutlens.operators.ordered import asof, running_sum, with_entity, with_neighbours
+from cutlens.session import cut_lineage
 
 TRACK = ["track_id"]
 
@@ -86,7 +87,7 @@ def music_sections(energy: DataFrame, tracks: DataFrame, per_second: float = 4.0
     Short runs of a loudness band are absorbed by their neighbours. A run long enough to stand
     never changes, so the stretches between such runs settle independently of each other.
     """
-    smooth = trailing_average(energy, max(1, round(per_second)))
+    smooth = cut_lineage(trailing_average(energy, max(1, round(per_second))))
     stats = smooth.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("rms").alias("mean"), F.min("smooth").alias("low"), F.max("smooth").alias("high"))
     known = tracks.filter("track_seconds > 0").join(stats, "track_id", "left")
@@ -102,7 +103,7 @@ def music_sections(energy: DataFrame, tracks: DataFrame, per_second: float = 4.0
     banded = smooth.join(shaped, "track_id").withColumn("level", level).withColumn(
         "band", F.when(F.col("level") < 0.35, 0).when(F.col("level") < 0.72, 1).otherwise(2))
     runs = _runs(banded.select("track_id", "i", "band", "level", "n", "min_run", "track_seconds"))
-    settled = _settle(runs)
+    settled = cut_lineage(_settle(cut_lineage(runs)))
     return simple.unionByName(_classify(settled, per_second))
 
 

@@ -135,13 +135,13 @@ def spectra(spark: SparkSession, folder: str) -> DataFrame:
 def energy(spark: SparkSession, folder: str) -> DataFrame:
     """A user's daily value sums as a loudness curve."""
     daily = table(spark, folder, "events").groupBy(F.col("user_id").alias("track_id"), F.to_date("ts").alias("_d")).agg(F.sum("value").alias("rms"))
-    return positions(daily, ["track_id"], ["_d"], F.floor(F.unix_date("_d") / 30), out="i").select("track_id", "i", "rms")
+    return cut_lineage(positions(daily, ["track_id"], ["_d"], F.floor(F.unix_date("_d") / 30), out="i").select("track_id", "i", "rms"))
 
 
 def beats(spark: SparkSession, folder: str) -> DataFrame:
     """A user's events as beats: 30 days are one minute."""
     start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    t = (F.unix_micros("ts") - start) / 43200000000.0
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - start) / 43200000000.0
     return table(spark, folder, "events").select(F.col("user_id").alias("track_id"), t.alias("t"), (F.col("event_type") == "signup").alias("is_downbeat"), "event_type")
 
 
