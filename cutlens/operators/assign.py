@@ -18,6 +18,7 @@ from cutlens.functions import constants as K
 from cutlens.functions.geometry import center_x, center_y, clamp, framing_index
 from cutlens.functions.labels import feature_distance
 from cutlens.operators.ordered import positions
+from cutlens.session import cut_lineage
 
 PROJECT = ["project_id"]
 SLOT = ["project_id", "slot_id"]
@@ -283,30 +284,36 @@ def assign_assets(slots: DataFrame, assets: DataFrame, features: DataFrame, lock
     plan = needs.join(sizes, "project_id").join(have, "project_id").join(locked, "project_id", "left").withColumn(
         "_repeats", F.greatest(F.lit(1), F.ceil(F.col("_open") / F.col("_have")) + F.coalesce("_locked", F.lit(0))).cast("int"))
 
-    costs = slot_asset_costs(open_slots, assets, features).select(*SLOT, "scene_idx", "asset_id", "cost")
-    ranks = chrono_rank(assets).select("project_id", "asset_id", "chrono", "arrival")
+    plan = cut_lineage(plan)
+    ranks = cut_lineage(chrono_rank(assets).select("project_id", "asset_id", "chrono", "arrival"))
     place = F.col("scene_idx") / F.greatest(F.lit(1), F.col("_all") - 1)
-    base = (
-        costs.join(plan, "project_id").join(ranks, ["project_id", "asset_id"])
-        .join(used, ["project_id", "asset_id"], "left")
-        .withColumn("_base", F.col("cost") + F.abs(F.col("chrono") - place) * W["chronology"])
-    )
-    columns = base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_repeats") - 1))).withColumn(
-        "reuse", (F.col("_r") + F.coalesce("_used", F.lit(0))).cast("int")).withColumn(
-        "total", F.col("_base") + F.col("reuse") * W["reuse"])
-    most = needs.agg(F.max("_open")).first()[0] or 0
+
+    def columns(of_assets: DataFrame) -> DataFrame:
+        """Cost of every open slot with every use of the given assets."""
+        base = (
+            slot_asset_costs(open_slots, of_assets, features).select(*SLOT, "scene_idx", "asset_id", "cost")
+            .join(plan, "project_id").join(ranks, ["project_id", "asset_id"]).join(used, ["project_id", "asset_id"], "left")
+            .withColumn("_base", F.col("cost") + F.abs(F.col("chrono") - place) * W["chronology"])
+        )
+        return base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_repeats") - 1))).withColumn(
+            "reuse", (F.col("_r") + F.coalesce("_used", F.lit(0))).cast("int")).withColumn(
+            "total", F.col("_base") + F.col("reuse") * W["reuse"])
+
+    most = plan.agg(F.max("_open")).first()[0] or 0
     order = Window.partitionBy(*SLOT).orderBy("total", "reuse", "arrival")
     # the literal bound lets Spark cut the ranking map-side before the exact per-project bound
-    pruned = columns.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).filter("_rn <= _open")
+    pruned = columns(assets).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).filter("_rn <= _open")
     types = dict(slots.dtypes) | {"asset_id": dict(assets.dtypes)["asset_id"]}
     head = f"project_id {types['project_id']}"
-    solved = pruned.select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total").groupBy("project_id").applyInPandas(
-        _solve, f"{head}, slot_id string, asset_id {types['asset_id']}, reuse int")
+    solved = cut_lineage(pruned.select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total").groupBy("project_id").applyInPandas(
+        _solve, f"{head}, slot_id string, asset_id {types['asset_id']}, reuse int"))
 
+    # variety is a question about the chosen columns only, at most one per slot
     taken = solved.select("project_id", "asset_id", "reuse").distinct()
+    chosen_assets = assets.join(taken.select("project_id", "asset_id").distinct(), ["project_id", "asset_id"], "left_semi")
     prints = features.select("project_id", "asset_id", F.transform("print", lambda x: x.cast("double")).alias("print"))
     table = (
-        columns.select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total")
+        columns(chosen_assets).select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total")
         .join(taken, ["project_id", "asset_id", "reuse"], "left_semi")
         .join(solved.withColumn("chosen", F.lit(True)), [*SLOT, "asset_id", "reuse"], "left")
         .join(prints, ["project_id", "asset_id"], "left")

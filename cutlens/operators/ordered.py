@@ -40,18 +40,18 @@ def positions(
     leading digit of the key): rows are ranked inside ``(entity, bucket)`` and shifted by the
     row count of the entity's earlier buckets.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = df.withColumn("_in_bucket", bucket)
+    counts = tagged.groupBy(*keys, "_in_bucket").agg(F.count(F.lit(1)).alias("_in_n"))
+    before = Window.partitionBy(*keys).orderBy("_in_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *keys, "_in_bucket", F.coalesce(F.sum("_in_n").over(before), F.lit(0)).alias("_in_offset")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = tagged.withColumn("_rank", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy(*keys, "_in_bucket").orderBy(*order)
+    ranked = tagged.withColumn("_in_rank", F.row_number().over(inside) - 1)
     return (
-        ranked.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_offset") + F.col("_rank")).cast("bigint"))
-        .drop("_bucket", "_offset", "_rank")
+        ranked.join(offsets, [*keys, "_in_bucket"])
+        .withColumn(out, (F.col("_in_offset") + F.col("_in_rank")).cast("bigint"))
+        .drop("_in_bucket", "_in_offset", "_in_rank")
     )
 
 

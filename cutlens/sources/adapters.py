@@ -157,7 +157,7 @@ def music_sections(spark: SparkSession, folder: str) -> DataFrame:
 def slots(spark: SparkSession, folder: str) -> DataFrame:
     """Nations of a region as the slots of a project's template."""
     n = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("n"), F.col("n_regionkey").cast("bigint").alias("project_id"))
-    rows = positions(n, ["project_id"], ["n"], F.expr("n div 64"), out="scene_idx")
+    rows = cut_lineage(positions(n, ["project_id"], ["n"], F.expr("n div 64"), out="scene_idx"))
     k = F.col("n")
     pick = lambda names, e: F.get(F.array(*[F.lit(v) for v in names]), (e % len(names)).cast("int"))
     return rows.select(
