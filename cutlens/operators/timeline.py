@@ -62,7 +62,7 @@ def active_clip(clips: DataFrame, instants: DataFrame, width: float = 60.0) -> D
 def _with_transitions(clips: DataFrame) -> DataFrame:
     soft = lambda c: c.isNotNull() & (c["kind"] != "cut") & (c["duration"] > 0)
     sided = with_neighbours(clips, PROJECT, "pos", 1, 1, lambda w: {
-        "_from": F.lag("clip_id").over(w), "_to": F.lead("clip_id").over(w),
+        "_from": F.lag("clip_id").over(w), "_to": F.lead("clip_id").over(w), "_prev_end": F.lag(F.col("start") + F.col("duration")).over(w),
         "_next_start": F.lead("start").over(w), "_next_tr": F.lead("transition").over(w),
     })
     return sided.withColumn("_in", F.when(soft(F.col("transition")) & (F.col("pos") > 0), F.col("transition"))).withColumn(
@@ -70,12 +70,12 @@ def _with_transitions(clips: DataFrame) -> DataFrame:
 
 
 def _placed(clips: DataFrame, instants: DataFrame, width: float) -> DataFrame:
-    packed = clips.select("project_id", F.col("start").alias("_start"), F.struct(*[c for c in clips.columns if c != "project_id"]).alias("clip"))
-    heads = packed.groupBy("project_id").agg(F.min_by("clip", "_start").alias("_head"))
-    found = asof(instants, packed, PROJECT, "t", ["clip"], width, right_at="_start").join(heads, "project_id")
+    # a clip takes over where the one before it ends, so rounding never leaves two candidates
+    packed = clips.select("project_id", F.coalesce("_prev_end", "start").alias("_from_t"), F.struct(*[c for c in clips.columns if c != "project_id"]).alias("clip"))
+    heads = packed.groupBy("project_id").agg(F.min_by("clip", "_from_t").alias("_head"))
+    found = asof(instants, packed, PROJECT, "t", ["clip"], width, right_at="_from_t").join(heads, "project_id")
     hit = F.coalesce("prev_clip", "_head")
-    # past its end a clip is held only when it is the last one
-    covered = (F.col("t") < hit["start"] + hit["duration"]) | hit["_to"].isNull()
+    covered = ((F.col("t") < hit["start"] + hit["duration"]) | hit["_to"].isNull()) & ((F.col("t") >= hit["start"]) | hit["_prev_end"].isNull())
     return found.select(*instants.columns, F.when(covered, hit).alias("clip"))
 
 
