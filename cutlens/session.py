@@ -22,14 +22,13 @@ def local_session(cores: int | str = "*", app: str = "cutlens", memory: str = "1
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    Only a local session without that setting gets a temporary folder of its own; on a cluster a
+    missing setting is an error, because a machine-local folder would not survive the loss of an
+    executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="cutlens-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder: computed once, read by all that follows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

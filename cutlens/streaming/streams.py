@@ -20,6 +20,22 @@ def stream_frames(frames: DataFrame, stride: int = 1, delay: str = "10 seconds")
     return frames.withWatermark("ts", delay).filter(F.col("frame_idx") % stride == 0)
 
 
+def find_cuts(known: dict, at: int, final: bool) -> tuple[list, int]:
+    """Cuts among ``known`` frames (index -> time, value) from ``at`` on, and the first frame that
+    still waits for the two frames after it."""
+    reach = K.ROLLING_ROWS
+    cuts = []
+    while at in known and (final or all(at + d in known for d in range(1, reach + 1))):
+        around = [known[at + d][1] for d in range(-reach, reach + 1) if d and at + d in known]
+        mean = sum(around) / len(around) if around else 0.0
+        t, value = known[at]
+        if value >= K.MIN_CONTENT_VALUE and mean > 1e-6 and value / mean >= K.ADAPTIVE_RATIO:
+            ratio = value / mean
+            cuts.append((at, t, ratio, min(0.98, 0.62 + (ratio - K.ADAPTIVE_RATIO) / 8)))
+        at += 1
+    return cuts, at
+
+
 class CutProcessor(StatefulProcessor):
     """Adaptive cut detection with two frames of context on either side.
 
@@ -35,35 +51,31 @@ class CutProcessor(StatefulProcessor):
         self.rows = handle.getMapState("rows", "frame_idx bigint", "t double, value double")
         self.next = handle.getValueState("next", "frame_idx bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = {}
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                self.rows.updateValue((int(r.frame_idx),), (float(r.t), float(r.content_value)))
+            arrived.update({int(i): (float(t), float(v)) for i, t, v in zip(batch["frame_idx"], batch["t"], batch["content_value"])})
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._ready(key, final=False)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._ready(key, arrived, final=False)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        yield self._ready(key, final=True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._ready(key, {}, final=True)
 
-    def _ready(self, key, final: bool) -> pd.DataFrame:
-        known = {int(k[0]): (v[0], v[1]) for k, v in self.rows.iterator()}
+    def _ready(self, key, arrived: dict, final: bool) -> pd.DataFrame:
+        """Judge every frame whose context is complete; only the unfinished tail stays in state."""
+        stored = {int(k[0]): (float(v[0]), float(v[1])) for k, v in self.rows.iterator()}
+        known = stored | arrived
         at = int(self.next.get()[0]) if self.next.exists() else 0
-        reach = K.ROLLING_ROWS
-        cuts = []
-        while at in known and (final or all(at + d in known for d in range(1, reach + 1))):
-            around = [known[at + d][1] for d in range(-reach, reach + 1) if d and at + d in known]
-            mean = sum(around) / len(around) if around else 0.0
-            t, value = known[at]
-            if value >= K.MIN_CONTENT_VALUE and mean > 1e-6 and value / mean >= K.ADAPTIVE_RATIO:
-                ratio = value / mean
-                cuts.append((*key, at, t, ratio, min(0.98, 0.62 + (ratio - K.ADAPTIVE_RATIO) / 8)))
-            at += 1
-        for old in [k for k in known if k < at - reach]:
+        cuts, at = find_cuts(known, at, final)
+        for old in [i for i in stored if i < at - K.ROLLING_ROWS]:
             self.rows.removeKey((old,))
+        for i, row in arrived.items():
+            if i >= at - K.ROLLING_ROWS:
+                self.rows.updateValue((i,), row)
         self.next.update((at,))
-        return pd.DataFrame(cuts, columns=["video_id", "frame_idx", "t", "ratio", "confidence"])
+        return pd.DataFrame([(*key, *cut) for cut in cuts], columns=["video_id", "frame_idx", "t", "ratio", "confidence"])
 
     def close(self) -> None:
         pass

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from queries import arrange, catalogue, scalars, sound, timelines, visual
+from queries import arrange, catalogue, plans, scalars, sound, streams, timelines, visual
 
-MODULES = (scalars, visual, sound, arrange, timelines, catalogue)
+MODULES = (scalars, visual, sound, arrange, timelines, catalogue, streams, plans)
 
 
 def queries() -> dict:
