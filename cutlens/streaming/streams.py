@@ -40,10 +40,11 @@ class CutProcessor(StatefulProcessor):
     """Adaptive cut detection with two frames of context on either side.
 
     Frames may arrive out of order inside the watermark: they wait in state until both neighbours
-    on each side are there. A timer flushes the end of a video.
+    on each side are there. Once the watermark is ``idle_ms`` past a video's last frame, its end
+    is flushed.
     """
 
-    def __init__(self, idle_ms: int = 10_000):
+    def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -52,12 +53,13 @@ class CutProcessor(StatefulProcessor):
         self.next = handle.getValueState("next", "frame_idx bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = {}
+        arrived, newest = {}, 0
         for batch in rows:
+            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
             arrived.update({int(i): (float(t), float(v)) for i, t, v in zip(batch["frame_idx"], batch["t"], batch["content_value"])})
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
         yield self._ready(key, arrived, final=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -81,16 +83,16 @@ class CutProcessor(StatefulProcessor):
         pass
 
 
-def stream_cuts(frames: DataFrame, idle_ms: int = 10_000) -> DataFrame:
+def stream_cuts(frames: DataFrame, idle_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
     """Cuts of each video as soon as their two following frames have arrived.
 
-    ``frames(video_id, frame_idx, t, content_value)`` with dense ``frame_idx``. Needs the RocksDB
-    state store.
+    ``frames(video_id, frame_idx, t, content_value, ts)`` with dense ``frame_idx``. Needs the
+    RocksDB state store.
     """
     video = dict(frames.dtypes)["video_id"]
-    return frames.groupBy("video_id").transformWithStateInPandas(
+    return frames.withWatermark("ts", delay).groupBy("video_id").transformWithStateInPandas(
         statefulProcessor=CutProcessor(idle_ms), outputStructType=f"video_id {video}, frame_idx bigint, t double, ratio double, confidence double",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="EventTime")
 
 
 def stream_energy(samples: DataFrame, width: str = "250 milliseconds", delay: str = "1 second") -> DataFrame:

@@ -43,15 +43,16 @@ def _(spark, sf):
     return _drain(streams.stream_frames(frames, 8)).select("video_id", "frame_idx")
 
 
-@register("stream_cuts", f"""WITH {MARKED}, n AS (SELECT video_id, max(frame_idx) AS m FROM frames GROUP BY 1)
-SELECT video_id, frame_idx, {s6('least(0.98, 0.62 + (ratio - 3) / 8)', 'confidence')} FROM marked JOIN n USING (video_id) WHERE is_cut AND frame_idx <= m - 2""")
+@register("stream_cuts", f"""WITH {MARKED}, n AS (SELECT video_id, max(frame_idx) AS m, max(ts) AS last FROM frames GROUP BY 1)
+SELECT video_id, frame_idx, {s6('least(0.98, 0.62 + (ratio - 3) / 8)', 'confidence')} FROM marked JOIN n USING (video_id) WHERE is_cut AND (frame_idx <= m - 2 OR last + INTERVAL 20 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""")
 def stream_cuts(spark, sf):
-    """The last two frames of a video wait for the idle timer, an hour here, which this run never reaches."""
+    """The last two frames of a video stay open until the watermark is well past them."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     landed = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
-    A.frames(spark, sf).select("video_id", "frame_idx", "t", "content_value").write.parquet(landed)
-    frames = spark.readStream.schema("video_id bigint, frame_idx bigint, t double, content_value double").parquet(landed)
-    return _drain(streams.stream_cuts(frames, idle_ms=3_600_000)).select("video_id", "frame_idx", r6("confidence").alias("confidence"))
+    A._ordered_events(spark, sf, ["value"]).select(
+        F.col("user_id").alias("video_id"), "frame_idx", (F.col("frame_idx") / 30.0).alias("t"), (F.col("value") / 500).alias("content_value"), F.col("ts").cast("timestamp").alias("ts")).write.parquet(landed)
+    frames = spark.readStream.schema("video_id bigint, frame_idx bigint, t double, content_value double, ts timestamp").parquet(landed)
+    return _drain(streams.stream_cuts(frames, idle_ms=20 * 86_400_000, delay="1 hour")).select("video_id", "frame_idx", r6("confidence").alias("confidence"))
 
 
 @register("stream_energy", f"""WITH w AS (SELECT user_id AS track_id, date_trunc('day', ts) AS d, sqrt(avg(value * value)) AS rms, count(*) AS n FROM events GROUP BY 1, 2)
