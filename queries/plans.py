@@ -24,7 +24,7 @@ def _observations(spark, sf) -> Observations:
     hits = A.ocr_hits(spark, sf)
     onset = A.onset(spark, sf)
     tempo = cut_lineage(audio.estimate_tempo(onset, 2, 8).select(F.col("track_id").alias("video_id"), "bpm", "confidence", "basis"))
-    beats = frames.filter("event_id % 3 = 0").select("video_id", "t")
+    beats = frames.filter("content_value > 0.1").select("video_id", "t")
     pixels = A.pixel_grid(spark, sf).select((F.col("asset_id") % 40).alias("video_id"), (F.col("x") % 6).alias("shot_idx"), "sample_id", "r", "g", "b")
     boxes = A.boxes(spark, sf).select("video_id", F.col("shot_idx").cast("bigint").alias("shot_idx"), "frame_idx", "x", "y", "w", "h")
     return Observations(

@@ -113,13 +113,13 @@ def beat_grid(spark, sf):
 BEATS = """beats AS (SELECT user_id AS track_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 43200000000e0 AS t, event_type, event_type = 'signup' AS is_downbeat FROM events)"""
 
 
-@register("downbeats", f"""WITH {ONSET}, b AS (SELECT track_id, k // 3 AS i, (k * 512 + 512) / 22050e0 AS t FROM onset WHERE k % 3 = 0),
+@register("downbeats", f"""WITH {ONSET}, b AS (SELECT track_id, k AS i, (k * 512 + 512) / 22050e0 AS t FROM onset),
 e AS (SELECT b.track_id, i % 4 AS ph, sum(o.v) AS e FROM b JOIN onset o ON o.track_id = b.track_id AND o.k = greatest(0, CAST(round((t * 22050e0 - 512) / 512) AS BIGINT)) GROUP BY 1, 2),
 bp AS (SELECT track_id, ph FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY e DESC, ph) AS rn FROM e) WHERE rn = 1)
 SELECT b.track_id, i, {s6('t', 't')} FROM b JOIN bp ON bp.track_id = b.track_id AND i % 4 = ph""")
 def _(spark, sf):
     onset = A.onset(spark, sf)
-    beats = onset.filter("k % 3 = 0").select("track_id", F.expr("k div 3").alias("i"), audio.frame_time(F.col("k")).alias("t"))
+    beats = onset.select("track_id", F.col("k").alias("i"), audio.frame_time(F.col("k")).alias("t"))
     return audio.downbeats(beats, onset).select("track_id", "i", r6("t").alias("t"))
 
 

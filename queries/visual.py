@@ -205,15 +205,17 @@ def _(spark, sf):
     return motion.subject_region(A.boxes(spark, sf), ["video_id", "shot_idx"], ["frame_idx"]).select("video_id", "shot_idx", *rect6("region"))
 
 
-@register("asset_subject", f"""WITH {BOXES}, s AS (SELECT video_id AS asset_id, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b FROM boxes WHERE l_partkey % 3 = 0 AND video_id % 4 <> 1 GROUP BY 1),
-f AS (SELECT video_id AS asset_id, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b, count(*) AS n FROM boxes WHERE l_partkey % 401 = 1 AND video_id % 4 <> 2 GROUP BY 1),
+@register("asset_subject", f"""WITH {BOXES}, s AS (SELECT video_id AS asset_id, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b FROM boxes GROUP BY 1),
+fb AS (SELECT o_custkey % 150 + 50 AS asset_id, (o_custkey % 150) / 300.0 + (o_orderkey % 10) / 100.0 AS x, (o_custkey % 75) / 150.0 + (o_orderkey % 7) / 100.0 AS y, CAST(0.05 AS DOUBLE) AS w, CAST(0.07 AS DOUBLE) AS h FROM orders),
+f AS (SELECT asset_id, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b, count(*) AS n FROM fb GROUP BY 1),
 p AS (SELECT asset_id, n, least((r - x) * 1.4, 1) AS w, least((b - y) * 1.4, 1) AS h, x + (r - x) / 2 - (r - x) * 1.4 / 2 AS x, y + (b - y) / 2 - (b - y) * 1.4 / 2 AS y FROM f),
 q AS (SELECT asset_id, n, least(greatest(x, 0), 1 - w) AS x, least(greatest(y, 0), 1 - h) AS y, w, h FROM p)
 SELECT coalesce(s.asset_id, q.asset_id) AS asset_id, {s6('least(s.x, q.x)', 'x')}, {s6('least(s.y, q.y)', 'y')}, {s6('greatest(s.r, q.x + q.w) - least(s.x, q.x)', 'w')}, {s6('greatest(s.b, q.y + q.h) - least(s.y, q.y)', 'h')},
   coalesce(n, 0) AS face_count FROM s FULL JOIN q ON s.asset_id = q.asset_id""")
 def _(spark, sf):
-    b = A.boxes(spark, sf).withColumnRenamed("video_id", "asset_id")
-    found = motion.asset_subject(b.filter("l_partkey % 3 = 0 AND asset_id % 4 <> 1"), b.filter("l_partkey % 401 = 1 AND asset_id % 4 <> 2"), ["asset_id"])
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    faces = A.table(spark, sf, "orders").select((c % 150 + 50).alias("asset_id"), ((c % 150) / 300.0 + (o % 10) / 100.0).alias("x"), ((c % 75) / 150.0 + (o % 7) / 100.0).alias("y"), F.lit(0.05).alias("w"), F.lit(0.07).alias("h"))
+    found = motion.asset_subject(A.boxes(spark, sf).withColumnRenamed("video_id", "asset_id"), faces, ["asset_id"])
     return found.select("asset_id", *rect6("region"), "face_count")
 
 
@@ -394,7 +396,7 @@ SELECT s.video_id, count(*) AS scene_count, {s6('list_sort(list("end" - start))[
   CAST(sum(CASE WHEN shot_idx > 0 AND tkind <> 'cut' AND confidence >= 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS transition_count, coalesce(any_value(c), 0) AS text_slot_count
 FROM scenes s JOIN seconds d ON d.video_id = s.video_id LEFT JOIN tx ON tx.video_id = s.video_id GROUP BY 1""")
 def _(spark, sf):
-    slots = A.text_tracks(spark, sf).filter("track % 7 <> 0").select("video_id", F.lit("caption").alias("role"))
+    slots = A.text_tracks(spark, sf).select("video_id", F.when(F.col("track") % 7 == 0, "watermark").otherwise("caption").alias("role"))
     out = template.template_stats(_compiled(spark, sf), slots, A.durations(A.frames(spark, sf)))
     return out.select("video_id", "scene_count", r6("median_seconds").alias("median_seconds"), r6("cuts_per_second").alias("cuts_per_second"), "transition_count", "text_slot_count")
 
