@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from cutlens.llm.textops import WordHashes, runs, words_of
 
 #: Code points of text a bundle holds, and values a merging task gets: at least, and at most. In between
 #: both grow with the root of the corpus, so that a bundle has many values for each block at any size.
-BUNDLE_CHARS, BLOCK_VALUES = (4_000_000, 32_000_000), (500_000, 4_000_000)
+BUNDLE_CHARS, BLOCK_VALUES = (1_000_000, 32_000_000), (100_000, 4_000_000)
 #: Sketch cells per window and row, and rows of the sketch.
 CELLS_PER_WINDOW, DEPTH = 8, 2
 _PART = "_bundle int, kind int, block long, n int, cells binary"
@@ -103,7 +104,7 @@ _FOUND_ARROW = [("_bundle", pa.int32()), ("kind", pa.int32()), ("block", pa.int6
 
 
 def _sketches(text: str, window: int, bits: int, blocks: int):
-    """Partial sketch of a bundle: its cells by row and block, in 32 bits where they fit."""
+    """Partial sketch of a bundle: its cells by row and block."""
 
     def partial(table: pa.Table) -> pa.Table:
         bundle = table.column("_bundle")[0].as_py()
@@ -115,35 +116,24 @@ def _sketches(text: str, window: int, bits: int, blocks: int):
             cells = _cells(every, bits, row)
             step = np.uint64(max(1, -(-(1 << bits) // blocks)))
             for part in _blocked(bundle, row, cells, cells // step):
-                rows.append(part | {"cells": _squeeze(np.frombuffer(part["cells"], np.uint64), part["n"])})
+                every_cell = np.frombuffer(part["cells"], np.uint64)
+                rows.append(part | {"cells": _squeeze(every_cell[: part["n"]], every_cell[part["n"] :])})
         return _as_table(rows, _PART_ARROW)
 
     return partial
 
 
-def _squeeze(values: np.ndarray, n: int) -> bytes:
-    """Two ascending runs (the first of ``n`` values) as compressed gaps."""
-    gaps = [np.diff(part, prepend=np.uint64(0)).astype(np.uint64) for part in (values[:n], values[n:])]
-    joined = np.concatenate(gaps)
-    firsts = [int(g[0]) for g in gaps if len(g)]
-    rest = np.concatenate([g[1:] for g in gaps])
-    width = 1 if not len(rest) or rest.max() < 2**8 else 2 if rest.max() < 2**16 else 4 if rest.max() < 2**32 else 8
-    head = np.array([width, len(joined), *firsts], np.uint64).tobytes()
-    return head + rest.astype(f"u{width}").tobytes()
+def _squeeze(once: np.ndarray, many: np.ndarray) -> bytes:
+    """Two ascending runs as gaps, byte plane by byte plane, compressed: about as many bits as a gap needs."""
+    gaps = np.concatenate([np.diff(run, prepend=np.uint64(0)).astype(np.uint64) for run in (once, many)])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _stretch(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    width, total = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
-    parts, at, sizes = [], 0, (n, total - n)
-    firsts = np.frombuffer(raw, np.uint64, sum(s > 0 for s in sizes), 16)
-    rest, used = np.frombuffer(raw, f"u{width}", offset=16 + 8 * len(firsts)).astype(np.uint64), 0
-    for size in sizes:
-        if size:
-            parts.append(np.cumsum(np.r_[firsts[used], rest[at : at + size - 1]], dtype=np.uint64))
-            used, at = used + 1, at + size - 1
-        else:
-            parts.append(np.empty(0, np.uint64))
-    return parts[0], parts[1]
+def _stretch(raw: bytes, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    gaps = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    n = len(gaps) if n is None else n
+    return np.cumsum(gaps[:n], dtype=np.uint64), np.cumsum(gaps[n:], dtype=np.uint64)
 
 
 def _twice(kind):
@@ -166,7 +156,7 @@ def _twice(kind):
             mine = np.concatenate(found) if found else every[:0]
             hit = mine[_inside(mine, often)]
             if len(hit):
-                value = _squeeze(np.sort(hit), len(hit)) if sketch else hit.tobytes()
+                value = _squeeze(np.sort(hit), hit[:0]) if sketch else np.ascontiguousarray(hit.view("u8").reshape(-1, 2)[:, 0]).tobytes()
                 rows.append({"_bundle": bundle, "kind": table.column("kind")[0].as_py(), "block": table.column("block")[0].as_py(), "cells": value})
         return _as_table(rows, _FOUND_ARROW)
 
@@ -200,7 +190,7 @@ def _suspects(text: str, window: int, bits: int, blocks: int):
             return _as_table([], _PART_ARROW)
         by_row = [[] for _ in range(DEPTH)]
         for row, raw in zip(cells.column("kind").to_pylist(), cells.column("cells").to_pylist()):
-            by_row[row].append(_stretch(raw, int(np.frombuffer(raw, np.uint64, 2)[1]))[0])
+            by_row[row].append(_stretch(raw)[0])
         hot = [np.sort(np.concatenate(r)) if r else np.empty(0, np.uint64) for r in by_row]
         found = []
         for h1, h2 in _tables(table.column(text).to_pylist(), window):
@@ -221,18 +211,16 @@ def _suspects(text: str, window: int, bits: int, blocks: int):
 
 def _removal(text: str, window: int, kept: list[str], clean_as_is: bool):
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
-        hits = [np.frombuffer(raw, "u8").reshape(-1, 2) for raw in found.column("cells").to_pylist()] if found.num_rows else []
-        halves = np.concatenate(hits) if hits else np.empty((0, 2), np.uint64)
-        often = np.ascontiguousarray(halves[np.lexsort((halves[:, 1], halves[:, 0]))]).view("V16").ravel()
+        # grouping took both hashes; among a bundle's own windows the first one alone tells them apart
+        hits = [np.frombuffer(raw, np.uint64) for raw in found.column("cells").to_pylist()] if found.num_rows else []
+        often = np.sort(np.concatenate(hits)) if hits else np.empty(0, np.uint64)
         cache, out, n_words, n_removed = WordHashes(), [], [], []
         for t in table.column(text).to_pylist():
             words = words_of(t)
             gone = np.zeros(len(words), bool)
             if len(often) and len(words) >= window:
-                hashes = cache.of(words)
-                both = np.ascontiguousarray(np.stack([runs(hashes, window), runs(hashes, window, 1)], axis=1)).view("V16").ravel()
                 starts = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(_inside(both, often))
+                at = np.flatnonzero(_inside(runs(cache.of(words), window), often))
                 starts[at] += 1
                 np.subtract.at(starts, at + window, 1)
                 gone = np.cumsum(starts[:-1]) > 0
