@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutlens.llm.fingerprints import edited_likeness
 from cutlens.llm.packing import pack_layers
 from cutlens.llm.quality import judge_layers
 from cutlens.llm.similarity import link_similar
@@ -77,3 +78,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op1_fingerprints")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = edited_likeness(layers_of(spark, folder))
+    return compared.select(
+        F.col("layer_id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
