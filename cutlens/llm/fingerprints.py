@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of the permutation (a power of two), and low-order bits kept of each bin's minimum.
 BINS, BITS = 256, 4
 SHINGLE = 5
+_BLANKS = " \t\n\x0b\x0c\r"
 #: Probes of an empty bin before the exact fallback, and bits of an id within one ordering bucket.
 PROBES, BUCKET_BITS = 48, 8
 _SHIFT = 63 - (BINS.bit_length() - 1)
@@ -25,15 +24,15 @@ def fingerprint(text: Column) -> Column:
     among those that are not empty (optimal densification). The lowest ``BITS`` bits of each bin are
     packed. A text without words (or null) has the empty array. Equal texts have equal fingerprints.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), _shingle_hashes)
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
+    hashes = _let(F.split(trimmed, r"[\x20\x09-\x0D]+"), _shingle_hashes)
     # a sentinel above every possible minimum of its bin marks each bin, so that sorting lines up all bins
     sentinels = F.lit([((j + 1) << _SHIFT) - 1 for j in range(BINS)])
     lined = F.sort_array(F.concat(hashes, sentinels))
     minima = _let(lined, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, _SHIFT) != F.shiftright(F.get(s, i - 1), _SHIFT))))
     bins = F.transform(minima, lambda x: F.when(x.bitwiseAND((1 << _SHIFT) - 1) != (1 << _SHIFT) - 1, x))
     dense = _let(bins, _densified)
-    return F.when(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")) == "", F.lit([]).cast("array<bigint>")).otherwise(_let(dense, _packed))
+    return F.when(trimmed == "", F.lit([]).cast("array<bigint>")).otherwise(_let(dense, _packed))
 
 
 def _let(value: Column, body) -> Column:
@@ -42,21 +41,18 @@ def _let(value: Column, body) -> Column:
 
 
 def _shingle_hashes(w: Column) -> Column:
-    """Non-negative 63-bit hash of every ``SHINGLE`` consecutive word hashes."""
+    """Non-negative 63-bit hash of every ``SHINGLE`` consecutive words."""
     last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), 1))
 
 
 def _densified(bins: Column) -> Column:
-    draw = random.Random(20_140_611)
-    table = [draw.randrange(BINS) for _ in range(BINS * PROBES)]
-    probes = F.lit(table)
-
     def fill(x: Column, i: Column) -> Column:
-        borrowed = [F.get(bins, F.get(probes, i * PROBES + t)) for t in range(PROBES)]
+        borrowed = [F.get(bins, F.xxhash64(i, F.lit(t)).bitwiseAND(BINS - 1).cast("int")) for t in range(PROBES)]
         # few filled bins: the rank of each under the bin's own order decides
         ranked = F.transform(bins, lambda y, j: F.when(y.isNotNull(), F.struct(F.xxhash64(i, j).alias("rank"), y.alias("value"))))
-        return F.coalesce(x, *borrowed, F.array_min(F.filter(ranked, lambda y: y.isNotNull()))["value"])
+        # what a bin borrows is hashed anew, or a text of one shingle would agree in all bins or in none
+        return F.coalesce(x, F.xxhash64(i, F.coalesce(*borrowed, F.array_min(F.filter(ranked, lambda y: y.isNotNull()))["value"])))
 
     return F.transform(bins, fill)
 
