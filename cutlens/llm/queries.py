@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutlens.llm.archive import read_archive, write_archive
+from cutlens.llm.chat import rotate_perspectives
 from cutlens.llm.fingerprints import edited_likeness
 from cutlens.llm.packing import pack_layers
+from cutlens.llm.pieces import decode_layers, encode_layers
 from cutlens.llm.quality import judge_layers
 from cutlens.llm.similarity import link_similar
+from cutlens.llm.topk import top_prints
+from cutlens.llm.urlrules import judge_urls
 from cutlens.llm.windows import remove_repeated_windows
+from cutlens.session import shared_folder
 
 JOBS: dict = {}
 SQL: dict[str, str] = {}
@@ -86,3 +94,51 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compared.select(
         F.col("layer_id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op3_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 20""")
+def topk(spark: SparkSession, folder: str) -> DataFrame:
+    features = table(spark, folder, "embeddings").select(F.col("vec_id").alias("asset_id"), F.col("embedding").alias("feature_print"))
+    found = top_prints(features, features.filter("asset_id % 20 = 0"), k=20)
+    return found.withColumnRenamed("asset_id", "vec_id")
+
+
+@query("op5_chat")
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("dialogue_id"), "turn", F.col("role").alias("speaker"), "text")
+    return rotate_perspectives(turns).withColumnRenamed("dialogue_id", "conv_id")
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op7_urls")
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("url_id"), "url")
+    return judge_urls(pages, URL_RULES).withColumnRenamed("url_id", "page_id")
+
+
+@query("op9_pieces")
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_layers(layers_of(spark, folder).select("layer_id", "text"), model, seed=2)
+    decoded = decode_layers(encoded, model)
+    return decoded.select(
+        F.col("layer_id").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
+@query("op10_warc")
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("project_id"), F.col("url").alias("uri"), F.col("html").alias("document"))
+    index = write_archive(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return read_archive(index).select(F.col("project_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
