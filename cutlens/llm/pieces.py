@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from cutlens.llm.textops import mixed
 
-#: Segments sampled together, segments a worker remembers, and the longest it remembers.
-CHUNK, CACHE_SEGMENTS, CACHE_CHARS = 50_000, 60_000, 40
+#: Code points sampled together.
+CHUNK_CHARS = 600_000
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
@@ -41,10 +41,9 @@ def decode_layers(text_layers: DataFrame, model: str, piece_ids: str = "piece_id
 
 
 class Lattices:
-    """Sampling tables of segments: a blank run and what follows up to the next blank.
+    """Piece lattices of segments (a blank run and what follows up to the next blank), all positions at once.
 
-    No piece has a blank after another character, so segments are independent. States are end positions;
-    each has its incoming arcs with the probability that the backward pass takes them.
+    No piece has a blank after another character, so segments are independent.
     """
 
     def __init__(self, model: str, sharpness: float):
@@ -52,113 +51,125 @@ class Lattices:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         size = sp.get_piece_size()
-        self.byte_ids, self.weight = [0] * 256, {}
+        self.byte_ids, by_length = np.zeros(256, np.int32), {}
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not sp.is_control(i) and not sp.is_unknown(i):
                 rank = min(-sp.get_score(i), size)
-                self.weight[piece.replace("▁", " ")] = (i, -sharpness * math.log(rank + 2))
-        self.longest = max(map(len, self.weight))
+                plain = piece.replace("▁", " ")
+                by_length.setdefault(len(plain), []).append((self._hash(plain), i, -sharpness * math.log(rank + 2)))
+        self.longest = max(by_length)
+        self.tables = {}
+        for length, rows in by_length.items():
+            rows.sort()
+            self.tables[length] = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int32, np.float64)))
         self.floor = -sharpness * math.log(size + 2)
-        self.known: dict[str, tuple] = {}
-
-    def of(self, segment: str) -> tuple[list[float], list[int], list[int], int, int]:
-        """``(cumulative probability within the arc's state + state, state the arc comes from, piece, last state, states)``."""
-        if segment in self.known:
-            return self.known[segment]
-        n, weight, longest = len(segment), self.weight, self.longest
-        arcs: list[list] = [[] for _ in range(n + 1)]
-        reach = [-math.inf] * (n + 1)
-        reach[0] = 0.0
-        for j in range(1, n + 1):
-            into = []
-            for i in range(max(0, j - longest), j):
-                hit = weight.get(segment[i:j])
-                if hit is not None:
-                    into.append((i, hit[0], reach[i] + hit[1]))
-            if segment[j - 1] not in weight:
-                into.append((j - 1, None, reach[j - 1] + self.floor))
-            top = max(x[2] for x in into)
-            shares = [math.exp(x[2] - top) for x in into]
-            total = math.fsum(shares)
-            reach[j] = top + math.log(total)
-            arcs[j] = [(i, piece, s / total) for (i, piece, _), s in zip(into, shares)]
-        state_of, states = [0] * (n + 1), 1
-        cum: list[float] = [1.0]  # state 0 has one arc to itself that is never taken
-        back, ids = [0], [0]
-        for j in range(1, n + 1):
-            detours, run = [], 0.0
-            state_of[j] = states
-            for i, piece, share in arcs[j]:
-                run += share
-                cum.append(states + min(run, 1.0))
-                if piece is None:  # the bytes of the character, the last one first
-                    raw = [self.byte_ids[b] for b in segment[j - 1].encode()]
-                    back.append(-1), ids.append(raw[-1])
-                    detours.append((len(cum) - 1, state_of[i], raw[:-1]))
-                else:
-                    back.append(state_of[i]), ids.append(piece)
-            cum[-1] = states + 1.0
-            states += 1
-            for arc, home, rest in detours:
-                if not rest:
-                    back[arc] = home
-                    continue
-                back[arc] = states
-                for k in range(len(rest) - 1, -1, -1):
-                    cum.append(states + 1.0), ids.append(rest[k])
-                    back.append(states + 1 if k else home)
-                    states += 1
-        found = (cum, back, ids, state_of[n], states)
-        if n <= CACHE_CHARS:
-            if len(self.known) >= CACHE_SEGMENTS:
-                self.known.clear()
-            self.known[segment] = found
-        return found
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        total = 0
+        for c in piece:
+            total = (total * int(_STEP[1]) + ord(c) + 1) % 2**64
+        return total
+
+    def tables_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every end position of the joined segments: where each segment starts, the running probabilities
+        of the arcs that end there by length, and their pieces (below zero: the character's own bytes)."""
+        codes = np.frombuffer("".join(distinct).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(d) for d in distinct], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n, reach_to = len(codes), self.longest
+        room = np.repeat(starts + sizes, sizes) - np.arange(n)  # characters from here to the end of the segment
+        weight = np.full((n + 1, reach_to), -np.inf)  # by end position and length less one
+        piece = np.zeros((n + 1, reach_to), np.int32)
+        at, rolling = np.arange(n), np.zeros(n, np.uint64)
+        for length in range(1, reach_to + 1):
+            live = room[at] >= length
+            at, rolling = at[live], rolling[live]
+            if not len(at):
+                break
+            rolling = rolling * _STEP[1] + codes[at + length - 1] + np.uint64(1)
+            if length == 1:
+                piece[at + 1, 0] = -(codes[at].astype(np.int64)) - 1
+                weight[at + 1, 0] = self.floor
+            if length in self.tables:
+                hashes, ids, weights = self.tables[length]
+                k = np.minimum(np.searchsorted(hashes, rolling), len(hashes) - 1)
+                hit = hashes[k] == rolling
+                piece[at[hit] + length, length - 1] = ids[k[hit]]
+                weight[at[hit] + length, length - 1] = weights[k[hit]]
+        # forward pass: the log of the summed weight of all ways to each position, segments side by side
+        reach = np.zeros(n + 1)
+        order = np.argsort(-sizes, kind="stable")
+        shrinking = sizes[order]
+        chances = np.empty((n + 1, reach_to))
+        for j in range(1, int(sizes.max()) + 1 if len(sizes) else 1):
+            ends = starts[order[: np.searchsorted(-shrinking, -j, side="right")]] + j
+            widest = min(j, reach_to)
+            before = reach[ends[:, None] - np.arange(1, widest + 1)]
+            if j <= reach_to:
+                before[:, j - 1] = 0.0  # the segment's own start; the shared position belongs to its neighbour
+            ways = weight[ends, :widest] + before
+            top = ways.max(1)
+            shares = np.exp(ways - top[:, None]).cumsum(1)
+            reach[ends] = top + np.log(shares[:, -1])
+            chances[ends, :widest] = shares / shares[:, -1:]
+            chances[ends, widest - 1 :] = 1.0
+        return starts, chances, piece
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text; ``keys`` are the random keys of the rows."""
         place: dict[str, int] = {}
-        which, owner, counts = [], [], []
+        which, counts = [], []
         for t in texts:
             parts = segments(t)
             counts.append(len(parts))
             which.extend([place.setdefault(p, len(place)) for p in parts])
+        if not which:
+            return [np.empty(0, np.int32) for _ in texts]
         owner = np.repeat(np.arange(len(texts)), counts)
-        ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) if len(owner) else np.empty(0, np.int64)
-        cum, back, ids, last, shifts, base = [], [], [], [], [], 0
-        sizes = []
-        for p in place:
-            c, b, i, end, states = self.of(p)
-            cum.extend(c), back.extend(b), ids.extend(i)
-            last.append(end + base), sizes.append(len(c)), shifts.append(base)
-            base += states
-        shift = np.repeat(np.array(shifts, np.int64), sizes)
-        cum = np.array(cum) + shift
-        back, ids = np.array(back, np.int64) + shift, np.array(ids, np.int32)
-        start = np.array(shifts, np.int64)
+        ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        distinct = list(place)
+        starts, chances, piece = self.tables_of(distinct)
         which = np.array(which, np.int64)
-        state, floor = np.array(last, np.int64)[which] if len(which) else which, start[which] if len(which) else which
-        seeds = mixed(keys[owner] + ordinal.astype(np.uint64) * _STEP[0]) if len(owner) else np.empty(0, np.uint64)
-        taken, alive, t = [], np.flatnonzero(state > floor), 0
+        first = starts[which]
+        position = first + np.array([len(d) for d in distinct], np.int64)[which]
+        seeds = mixed(keys[owner] + ordinal.astype(np.uint64) * _STEP[0])
+        # backward pass: from the end of each segment, draw the piece that ends here
+        taken, alive, t = [], np.arange(len(which)), 0
         while len(alive):
-            u = (mixed(seeds[alive] + np.uint64(t) * _STEP[1]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(cum, state[alive] + u, side="right")
-            taken.append((alive, ids[arc]))
-            state[alive] = back[arc]
-            alive = alive[state[alive] > floor[alive]]
+            step = np.array([t], np.uint64) * _STEP[1]
+            u = (mixed(seeds[alive] + step) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            length = (chances[position[alive]] <= u[:, None]).sum(1)
+            taken.append((alive, piece[position[alive], length]))
+            position[alive] -= length + 1
+            alive = alive[position[alive] > first[alive]]
             t += 1
         lengths = np.zeros(len(which), np.int64)
         for rows, _ in taken:
             lengths[rows] += 1
         ends = np.cumsum(lengths)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        for t, (rows, pieces) in enumerate(taken):
-            out[ends[rows] - 1 - t] = pieces
-        per_text = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64) if len(owner) else np.zeros(len(texts), np.int64)
-        return np.split(out, np.cumsum(per_text)[:-1]) if len(texts) else []
+        out = np.empty(int(ends[-1]), np.int32)
+        for t, (rows, ids) in enumerate(taken):
+            out[ends[rows] - 1 - t] = ids
+        per_text = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
+        return [self._bytes(ids) for ids in np.split(out, np.cumsum(per_text)[:-1])]
+
+    def _bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Characters without a piece as the pieces of their bytes."""
+        single = (ids < 0) & (ids >= -128)
+        if single.any():
+            ids[single] = self.byte_ids[-ids[single] - 1]
+        wide = np.flatnonzero(ids < 0)
+        if not len(wide):
+            return ids
+        parts, at = [], 0
+        for k in wide.tolist():
+            parts += [ids[at:k], self.byte_ids[list(chr(-int(ids[k]) - 1).encode())]]
+            at = k + 1
+        return np.concatenate([*parts, ids[at:]])
 
 
 def segments(text: str) -> list[str]:
@@ -185,7 +196,7 @@ def _encode(model: str, layer_id: str, text: str, seed: int, sharpness: float, k
             keys = np.array([xxhash.xxh64_intdigest(repr(k).encode(), seed=seed) for k in batch.column(layer_id).to_pylist()], np.uint64)
             at = 0
             while at < len(texts):
-                past, room = at, CHUNK * 6  # code points: about as many segments as a chunk has
+                past, room = at, CHUNK_CHARS
                 while past < len(texts) and (past == at or room > 0):
                     room -= len(texts[past])
                     past += 1
