@@ -64,7 +64,7 @@ def link_similar(
     matrix = words.filter("in_index").groupBy("token", "group_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     visits = words.select("token", "class_id", "n", F.col("group_id").alias("home")).join(matrix, "token")
     fits = (F.col("home") != F.col("group_id")) & (F.col("low") <= F.col("n")) & (F.col("high") * ratio.denominator >= F.col("n") * ratio.numerator)
-    visits = visits.filter(fits).select("class_id", "group_id").distinct()
+    visits = cut_lineage(visits.filter(fits).select("class_id", "group_id").distinct())
     crowd = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
     guests = visits.groupBy("group_id").agg(F.count(F.lit(1)).alias("guests"))
     opened = crowd.join(guests, "group_id", "left").filter("members > 1 OR guests > 0")
