@@ -16,7 +16,8 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is two aggregates and two joins; nothing but one checksum a round comes to the driver.
     """
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = cut_lineage(links.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut_lineage(links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
+    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour goes to the smallest of the neighbourhood
