@@ -31,13 +31,13 @@ def coalescing_key(kind: Column, entity: Column) -> Column:
 
 
 def coalesce_edits(log: DataFrame) -> DataFrame:
-    """One row per gesture: consecutive edits with the same key keep the first old value and the
-    last new one. A ``gesture`` column, when present, must match too."""
+    """One row per step: an edit made while a gesture is open (``gesture`` not null) joins the edit before
+    it if both have the same key; the step keeps the first old value and the last new one. Without an
+    open gesture, or without the column, an edit is a step of its own."""
     key = coalescing_key(F.col("kind"), F.col("entity_id"))
-    if "gesture" in log.columns:
-        key = F.when(F.col("gesture").isNotNull(), F.concat_ws("#", key, F.col("gesture").cast("string")))
-    keyed = log.withColumn("_key", key)
-    starts = with_neighbours(keyed, PROJECT, "seq", 1, 0, lambda w: {"_same": F.coalesce(F.col("_key") == F.lag("_key").over(w), F.lit(False))})
+    open_ = F.col("gesture").isNotNull() if "gesture" in log.columns else F.lit(False)
+    keyed = log.withColumn("_key", key).withColumn("_open", open_)
+    starts = with_neighbours(keyed, PROJECT, "seq", 1, 0, lambda w: {"_same": F.col("_open") & F.coalesce(F.col("_key") == F.lag("_key").over(w), F.lit(False))})
     grouped = running_sum(starts, PROJECT, "seq", {"_group": F.when(F.col("_same"), 0).otherwise(1).cast("bigint")})
     extra = [c for c in ("index", "to_index", "amount") if c in log.columns]
     return grouped.groupBy("project_id", "_group").agg(

@@ -162,14 +162,16 @@ def asof(
     over = Window.partitionBy(*keys).orderBy("_cell")
     carried = [F.last("_hi", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")]
     if forward:
-        carried.append(F.first("_lo", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        # looked at backwards: a growing frame costs one step a row, a shrinking one starts anew at each
+        later = Window.partitionBy(*keys).orderBy(F.desc("_cell"))
+        carried.append(F.last("_lo", True).over(later.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
     carry = cells.select(*keys, "_cell", *carried)
     # at equal times the right row sorts first, so "at or before" includes it
     back = Window.partitionBy(*keys, "_cell").orderBy("_t", F.col("_r").isNull(), "_r")
     found = [F.last("_r", True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev")]
     if forward:
-        # min over the following rows: right rows only, all at or after this one
-        ahead = Window.partitionBy(*keys, "_cell").orderBy("_t").rangeBetween(0, Window.unboundedFollowing)
+        # min over this and the later rows, again backwards: right rows only, all at or after this one
+        ahead = Window.partitionBy(*keys, "_cell").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
         found.append(F.min("_r").over(ahead).alias("_next"))
     matched = both.select(*keys, "_cell", "_l", "_r", *found).filter("_l IS NOT NULL").join(carry, [*keys, "_cell"], "left")
     prev = F.coalesce("_prev", "_before")

@@ -27,9 +27,12 @@ def luma_thumb(grid: DataFrame, keys: list[str], width: int, height: int,
     )
 
 
-def thumb_stats(thumb: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and population deviation over all cells of a thumbnail."""
-    return thumb.groupBy(*keys).agg(F.avg("luma").alias("luma_mean"), F.stddev_pop("luma").alias("luma_std"))
+def thumb_stats(thumb: DataFrame, keys: list[str], tw: int = K.THUMB_WIDTH, th: int = K.THUMB_HEIGHT) -> DataFrame:
+    """Mean and population deviation over all ``tw * th`` cells of a thumbnail; a cell without a pixel is 0."""
+    cells = float(tw * th)
+    sums = thumb.groupBy(*keys).agg(F.sum("luma").alias("_s"), F.sum(F.col("luma") * F.col("luma")).alias("_q"))
+    mean = F.col("_s") / cells
+    return sums.select(*keys, mean.alias("luma_mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / cells - mean * mean)).alias("luma_std"))
 
 
 def thumb_arrays(thumb: DataFrame, keys: list[str], tw: int = K.THUMB_WIDTH, th: int = K.THUMB_HEIGHT) -> DataFrame:

@@ -264,7 +264,8 @@ def edit_log(spark: SparkSession, folder: str) -> DataFrame:
             .when(F.col("event_type") == "error", "redo").otherwise("moveClip"))
     return rows.select(
         F.col("user_id").alias("project_id"), F.col("frame_idx").alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("entity_id"),
-        F.col("value").cast("string").alias("new_value"), F.format_string("%d", k).alias("old_value"), (k % 5).alias("index"), (F.expr("0L") + F.floor(k / 5) % 5).alias("to_index"), "ts")
+        F.col("value").cast("string").alias("new_value"), F.format_string("%d", k).alias("old_value"), (k % 5).alias("index"), (F.expr("0L") + F.floor(k / 5) % 5).alias("to_index"), "ts",
+        F.when(k % 4 != 0, F.expr("frame_idx div 8")).alias("gesture"))
 
 
 def edit_clips(spark: SparkSession, folder: str) -> DataFrame:

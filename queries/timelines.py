@@ -312,7 +312,7 @@ def _(spark, sf):
 LOG = """log AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CASE event_type WHEN 'click' THEN 'setClipVolume' WHEN 'view' THEN 'trimClip' WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'moveClip' END AS kind,
   'c' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS entity_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 ky AS (SELECT *, CASE kind WHEN 'setClipVolume' THEN 'clipvol:' || entity_id WHEN 'trimClip' THEN 'trim:' || entity_id END AS key FROM log),
-gp AS (SELECT *, sum(CASE WHEN coalesce(key = lag_key, false) THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY seq) - 1 AS step FROM (SELECT *, lag(key) OVER (PARTITION BY project_id ORDER BY seq) AS lag_key FROM ky)),
+gp AS (SELECT *, sum(CASE WHEN coalesce(key = lag_key AND k % 4 <> 0, false) THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY seq) - 1 AS step FROM (SELECT *, lag(key) OVER (PARTITION BY project_id ORDER BY seq) AS lag_key FROM ky)),
 co AS (SELECT project_id, step, min(seq) AS first_seq, max(seq) AS seq, count(*) AS merged, any_value(kind) AS kind, any_value(entity_id) AS entity_id, arg_max(value, seq) AS new_value, arg_min(k, seq) AS old_value, arg_max(k, seq) AS lk FROM gp GROUP BY 1, 2)"""
 
 

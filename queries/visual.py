@@ -233,7 +233,7 @@ def _(spark, sf):
 
 
 @register("luma_thumb_stats", f"""WITH {PIXELS}, th AS (SELECT asset_id, least(23, x * 24 // 40) AS tx, least(41, y * 42 // 30) AS ty, avg({LUMA}) AS luma FROM pixels GROUP BY 1, 2, 3)
-SELECT asset_id, {s6('avg(luma)', 'luma_mean')}, {s6('stddev_pop(luma)', 'luma_std')} FROM th GROUP BY 1""")
+SELECT asset_id, {s6('sum(luma) / 1008', 'luma_mean')}, {s6('sqrt(greatest(0, sum(luma * luma) / 1008 - (sum(luma) / 1008) * (sum(luma) / 1008)))', 'luma_std')} FROM th GROUP BY 1""")
 def _(spark, sf):
     th = palette.luma_thumb(A.pixel_grid(spark, sf), ["asset_id"], 40, 30)
     return palette.thumb_stats(th, ["asset_id"]).select("asset_id", r6("luma_mean").alias("luma_mean"), r6("luma_std").alias("luma_std"))

@@ -71,6 +71,8 @@ def test_replay_with_undo_redo_and_structure(spark):
         ("p", 10, "setClipSpeed", "c", "2", "1", None, None), ("p", 11, "redo", None, None, None, None, None),
     ]
     df = spark.createDataFrame(log, "project_id string, seq bigint, kind string, entity_id string, new_value string, old_value string, index bigint, to_index bigint")
+    assert edits.coalesce_edits(df).count() == len(log)  # without an open gesture nothing merges
+    df = df.selectExpr("*", "CASE WHEN seq <= 1 THEN 1 END AS gesture")
     clips = spark.createDataFrame([("p", i, c) for i, c in enumerate("abc")], "project_id string, pos int, clip_id string")
     got = {r.clip_id: (r.pos, r.fields or {}) for r in edits.replay_edits(df, clips).collect()}
     # a moved to the end and stayed there; b was split; deleting and the second volume were undone

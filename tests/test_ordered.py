@@ -1,6 +1,7 @@
 """Sliced building blocks against plain loops, with slices far smaller than the entities."""
 
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -84,3 +85,15 @@ def test_walk_continues_across_calls(spark):
     whole = {(r.k, r.i): r.s for r in o.walk_in_order(df, ["k"], "i", walk, "k int, i bigint, s bigint", 1000).collect()}
     parts = {(r.k, r.i): r.s for r in o.walk_in_order(df, ["k"], "i", walk, "k int, i bigint, s bigint", 5).collect()}
     assert whole == parts and len(whole) == 69
+
+
+def test_nearest_in_one_crowded_cell_is_linear(spark):
+    left = spark.range(20_000).selectExpr("'v' AS video_id", "id / 1000.0D AS t")
+    right = spark.range(10_000).selectExpr("'v' AS video_id", "id / 500.0D + 0.0004D AS t", "id")
+    start = time.perf_counter()
+    found = o.nearest(left, right, ["video_id"], "t", ["id"], width=60.0).collect()
+    assert time.perf_counter() - start < 15
+    assert len(found) == 20_000
+    for r in found[::501]:
+        best = min(range(10_000), key=lambda i: (abs(i / 500 + 0.0004 - r.t), i)) if r.t < 1 else None
+        assert best is None or r.near_id == best

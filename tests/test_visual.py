@@ -37,10 +37,15 @@ def test_noise_pan_and_dim_shot_have_no_boundary(spark):
 
 
 def test_cross_fade_and_fade_to_black(spark):
-    level = lambda i: 0.2 if i < 20 else 0.8 if i > 28 else 0.2 + 0.6 * (i - 20) / 8
-    fade = [(0.03 if 20 < i <= 28 else 0.004, level(i), 0.2) for i in range(60)]
+    # the ramp runs from the last pure frame (19) to the first pure one (29)
+    level = lambda i: 0.2 if i < 20 else 0.8 if i > 28 else 0.2 + 0.6 * (i - 19) / 10
+    fade = [(0.03 if 20 <= i <= 28 else 0.003, 0.5, 0.25) for i in range(60)]
     got = boundaries(spark, fade, [[level(i)] * 32 for i in range(60)])
     assert [k for _, k in got] == ["start", "dissolve"]
+    # flat shoulders at both ends of the ramp are no blend of the frames around it
+    flat = lambda i: 0.2 if i <= 20 else 0.8 if i >= 28 else 0.2 + 0.6 * (i - 20) / 8
+    got = boundaries(spark, [(0.03 if 20 < i <= 28 else 0.004, flat(i), 0.2) for i in range(60)], [[flat(i)] * 32 for i in range(60)])
+    assert [k for _, k in got] == ["start"]
     lum = lambda i: 0.5 if i < 20 else max(0.02, 0.5 - 0.05 * (i - 19)) if i < 40 else 0.5
     black = [(0.42 if i == 40 else 0.02 if 20 <= i < 30 else 0.004, lum(i), 0.01 if 28 <= i < 40 else 0.2) for i in range(60)]
     kinds = [k for _, k in boundaries(spark, black, [[lum(i)] * 16 for i in range(60)])]
