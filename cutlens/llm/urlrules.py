@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cutlens.session import cut_lineage
 
+#: Token sets with a mined verdict up to which they are broadcast (some 200 bytes each).
+BROADCAST_SETS = 100_000
 #: Share of the labelled URLs a mined combination must have, and share of them a rule must decide alike.
 SUPPORT, CONFIDENCE = 0.002, 0.8
 
@@ -69,6 +71,10 @@ def judge_urls(
     hits = hits.filter(F.size(F.array_except("combination", "tokens")) == 0)
     strength = F.struct("confidence", "support", F.size("combination").alias("size"), F.array_join("combination", " ").alias("name"), "verdict")
     decided = hits.groupBy(F.col("tokens").alias("basket")).agg(F.max(strength).alias("best"))
+    # one token set may be that of a third of all URLs: a small table of sets goes to the URLs instead
+    decided = cut_lineage(decided.select("basket", "best.verdict", "best.confidence").select("basket", F.struct("verdict", "confidence").alias("best")))
+    if decided.count() <= BROADCAST_SETS:
+        decided = F.broadcast(decided)
     open_ = F.when(F.col("known").isNull(), F.col("tokens"))
     verdict = F.coalesce(F.col("known.verdict"), F.col("best.verdict"), F.lit(default))
     return judged.withColumn("open", open_).join(decided, F.col("open") == F.col("basket"), "left").select(
