@@ -274,6 +274,7 @@ def assign_assets(slots: DataFrame, assets: DataFrame, features: DataFrame, lock
         locks = slots.select(*SLOT).withColumn("asset_id", F.lit(None)).limit(0).join(assets.select("project_id").limit(0), "project_id", "left_semi")
         locks = locks.withColumn("asset_id", F.col("asset_id").cast(dict(assets.dtypes)["asset_id"]))
     pinned = locks.join(slots.select(*SLOT, "scene_idx"), SLOT).join(assets.select("project_id", "asset_id"), ["project_id", "asset_id"], "left_semi")
+    pinned = pinned.join(visuals(assets).select("project_id").distinct(), "project_id", "left_semi")  # without visuals nothing is assigned
     used = pinned.groupBy("project_id", "asset_id").agg(F.count(F.lit(1)).alias("_used"))
     sizes = slots.groupBy("project_id").agg(F.count(F.lit(1)).alias("_all"))
     open_slots = slots.join(pinned.select(*SLOT), SLOT, "left_anti")
