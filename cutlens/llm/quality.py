@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlens.llm.textops import words_of
+from cutlens.session import cut_lineage
 
 #: Labelled layers the word model is fitted on, at most; those with the smallest hash of their id.
 FIT_LAYERS = 20_000
@@ -135,7 +136,9 @@ def _present(place: dict[bytes, int]):
 def site_rates(site_evidence: DataFrame) -> DataFrame:
     """``_project``, ``_slot`` and the shrunk rate of each target (``_r0``, ``_r1``): slot towards project,
     project towards corpus, with a strength taken from how much the rates differ between sites."""
-    slots = site_evidence.groupBy("_project", "_slot").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"s{i}") for i in range(len(TARGETS))])
+    sums = [F.sum(f"p{i}").alias(f"s{i}") for i in range(len(TARGETS))]
+    # read by the corpus totals, the projects and the slots: scored once, one row a site kept
+    slots = cut_lineage(site_evidence.groupBy("_project", "_slot").agg(F.count(F.lit(1)).alias("n"), *sums))
     projects = slots.groupBy("_project").agg(F.sum("n").alias("pn"), *[F.sum(f"s{i}").alias(f"ps{i}") for i in range(len(TARGETS))])
     every, spread = [], []
     for i in range(len(TARGETS)):
