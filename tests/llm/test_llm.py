@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cutlens.llm import archive, chat, components, fingerprints, packing, pieces, quality, similarity, topk, urlrules, windows
@@ -355,3 +357,15 @@ def test_archive_round_trip_and_seek(spark, tmp_path):
             assert sum(s[1] for s in starts) + 8 + 8 * len(starts) + 9 == f.size()
     assert archive.read_archive(archive.write_archive(df.limit(0), f"file://{tmp_path}/b")).collect() == []
     assert hashlib.sha1(b"").digest() and archive.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0aB9é漢'!.ts"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_ranked_ids_are_those_of_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    assert packing._ids(path).ranked is not None
+    for t in (text, text + "<|endoftext|> " + text, text + " " * 1200 + "x" * 10_500):
+        assert np.frombuffer(packing._ids(path).of(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
