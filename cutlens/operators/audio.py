@@ -173,8 +173,8 @@ def beat_grid(onset: DataFrame, tempo: DataFrame, durations: DataFrame, rate: fl
 
     Where a beat lands depends only on the frame of the beat before it, so every frame's
     successor is computed at once and the beats are the chain from the first one.
-    ``tempo(track_id, bpm, n)``, ``durations(track_id, track_seconds)``; no period may exceed
-    ``max_period`` frames.
+    ``tempo(track_id, bpm, n)``, ``durations(track_id, track_seconds)``; a period of more
+    than ``max_period`` frames is an error.
     """
     phase = comb_phase(onset, tempo, rate)
     reach = max(1, int(max_period * 0.08))
@@ -186,7 +186,8 @@ def beat_grid(onset: DataFrame, tempo: DataFrame, durations: DataFrame, rate: fl
         return out
 
     around = with_neighbours(onset, TRACK, "k", reach, reach, peaks).join(phase, "track_id")
-    radius = F.greatest(F.lit(1), F.floor(F.col("period") * 0.08))
+    beyond = F.raise_error(F.format_string("a period of %.2f frames exceeds max_period", "period")).cast("bigint")
+    radius = F.when(F.col("period") <= max_period, F.greatest(F.lit(1), F.floor(F.col("period") * 0.08))).otherwise(beyond)
     chosen = F.col("_peak1")
     for r in range(2, reach + 1):
         chosen = F.when(radius >= r, F.col(f"_peak{r}")).otherwise(chosen)

@@ -168,18 +168,20 @@ def _gradual(marked: DataFrame, thumbs: DataFrame, options: ShotOptions) -> Data
         F.format_string("luma std dev fell to %.3f over %d frames, mean %.2f", flat["luma_std"], "n_frames", flat["luma_mean"]).alias("basis"),
     )
     # One pass over the thumbnails: a run lasts at most max_gradual seconds, so the pictures it
-    # needs, both ends included, are a short list.
+    # needs, both ends included, are a short list. Without both ends there is nothing to blend.
     wanted = runs.filter(~is_fade).withColumn("frame_idx", F.explode(F.sequence("start_idx", "end_idx")))
     pictures = (
         wanted.join(thumbs.select("video_id", "frame_idx", "thumb"), ["video_id", "frame_idx"])
         .groupBy("video_id", "run")
         .agg(F.sort_array(F.collect_list(F.struct("frame_idx", "thumb"))).alias("pics"),
-             *[F.first(c).alias(c) for c in ("first_idx", "end_t", "seconds", "n_frames")])
+             *[F.first(c).alias(c) for c in ("first_idx", "start_idx", "end_idx", "end_t", "seconds", "n_frames")])
+        .filter((F.get("pics", F.lit(0))["frame_idx"] == F.col("start_idx")) & (F.element_at("pics", -1)["frame_idx"] == F.col("end_idx")))
         .withColumn("_a", F.get("pics", F.lit(0))["thumb"]).withColumn("_b", F.element_at("pics", -1)["thumb"])
         .filter(color.mean_abs_difference(F.col("_a"), F.col("_b")) >= options.endpoint_difference)
     )
     inner = F.slice("pics", F.lit(2), F.size("pics") - 2)
-    residual = F.transform(inner, lambda p, i: color.blend_residual(p["thumb"], F.col("_a"), F.col("_b"), (i + 1) / (F.size("pics") - 1)))
+    weight = lambda p: (p["frame_idx"] - F.col("start_idx")) / (F.col("end_idx") - F.col("start_idx"))
+    residual = F.transform(inner, lambda p: color.blend_residual(p["thumb"], F.col("_a"), F.col("_b"), weight(p)))
     residuals = pictures.withColumn("residual", color.array_mean(residual)).filter(F.col("residual") <= options.dissolve_residual)
     dissolves = residuals.select(
         "video_id", F.col("first_idx").alias("frame_idx"), F.lit("dissolve").alias("kind"), F.col("end_t").alias("t"),

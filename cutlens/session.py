@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="cutlens-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -274,20 +274,22 @@ def edit_clips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of a conversation as transcript segments of one audio clip."""
+    """Turns of a conversation as transcript segments of one audio clip, which ends inside the last turn."""
     turn = F.col("turn")
-    return table(spark, folder, "conversations").select(
+    turns = table(spark, folder, "conversations")
+    seconds = turns.groupBy("conv_id").agg((F.max("turn") * 2.5 + 1.0).alias("_seconds"))
+    return turns.join(seconds, "conv_id").select(
         F.col("conv_id").alias("project_id"), turn.alias("segment_id"), F.regexp_replace("text", r"[\n\t]", " ").alias("text"), (turn * 2.5).alias("start"), (turn * 2.5 + 2.2).alias("end"),
-        F.lit(None).cast("array<double>").alias("word_starts"), F.lit(0.5).alias("clip_start"), F.lit(12.0).alias("clip_seconds"), F.lit(1.0).alias("clip_source_start"),
-        F.lit(11.0).alias("timeline_seconds"))
+        F.lit(None).cast("array<double>").alias("word_starts"), F.lit(0.5).alias("clip_start"), F.col("_seconds").alias("clip_seconds"), F.lit(1.0).alias("clip_source_start"),
+        (F.col("_seconds") + 0.3).alias("timeline_seconds"))
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as saved templates: title from the first words, tags from language and source."""
+    """Documents as saved templates: the text is the title, language and source are the tags."""
     d = F.col("doc_id")
     words = F.filter(F.split(F.regexp_replace("text", r"[\n\t]", " "), " "), lambda w: w != "")
     return table(spark, folder, "documents").select(
-        F.concat(F.lit("tpl-"), (d % 900).cast("string")).alias("id"), F.array_join(F.slice(words, 1, 4), " ").alias("title"), F.array("lang", "source").alias("tags"),
+        F.concat(F.lit("tpl-"), (d % 900).cast("string")).alias("id"), F.array_join(words, " ").alias("title"), F.array("lang", "source").alias("tags"),
         (d % 3 == 0).alias("isBuiltIn"), (F.col("n_chars") / 100.0).alias("duration"), d.alias("doc_id"))
 
 

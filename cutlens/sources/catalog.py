@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cutlens.functions.geometry import aspect_preset
 
 HEAD_BYTES = 1_048_576
-LOG_ROWS = 3000
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -60,13 +59,16 @@ def search_projects(catalog: DataFrame, query: str = "", sort: str = "recent") -
     return found.orderBy(*order, "project_id")
 
 
-def diag_report(log: DataFrame, keep: int = LOG_ROWS) -> DataFrame:
-    """Per source and category over the last ``keep`` entries: counts, warnings, timings, memory.
+def diag_report(log: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per source and category: counts, warnings, timings, memory; with ``keep``, over the last so many
+    entries of a source only.
 
     ``log(source_id, seq, level, category, seconds, memory_mb)``.
     """
-    newest = Window.partitionBy("source_id").orderBy(F.col("seq").desc())
-    kept = log.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= keep)
+    kept = log
+    if keep is not None:
+        newest = Window.partitionBy("source_id").orderBy(F.col("seq").desc())
+        kept = log.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= keep)
     timing = F.when(F.col("level") == "timing", F.col("seconds"))
     per = kept.groupBy("source_id", "category").agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(F.col("level").isin("warning", "failure")).alias("problems"),

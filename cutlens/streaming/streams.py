@@ -5,6 +5,7 @@ watermark are dropped.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,20 +21,35 @@ def stream_frames(frames: DataFrame, stride: int = 1, delay: str = "10 seconds")
     return frames.withWatermark("ts", delay).filter(F.col("frame_idx") % stride == 0)
 
 
-def find_cuts(known: dict, at: int, final: bool) -> tuple[list, int]:
-    """Cuts among ``known`` frames (index -> time, value) from ``at`` on, and the first frame that
-    still waits for the two frames after it."""
+def find_cuts(known: dict, at: int, final: bool, passed: int = 0) -> tuple[list, int, int]:
+    """Cuts among ``known`` frames (index -> time, value, event time in ms) from ``at`` on, the first frame
+    that still waits for the two frames after it, and the first one still needed as a neighbour.
+
+    A missing frame is waited for until the watermark ``passed`` is beyond the frame after it (or the video
+    is over); from then on the frames around the gap are neighbours, as in the batch form.
+    """
     reach = K.ROLLING_ROWS
+    order = sorted(known)
+    place = bisect.bisect_left(order, at)
+
+    def settled(k: int) -> bool:
+        return final or order[k] == (order[k - 1] + 1 if k else 0) or known[order[k]][2] < passed
+
     cuts = []
-    while at in known and (final or all(at + d in known for d in range(1, reach + 1))):
-        around = [known[at + d][1] for d in range(-reach, reach + 1) if d and at + d in known]
+    while place < len(order) and settled(place):
+        ahead = range(place + 1, place + reach + 1)
+        if not final and not all(k < len(order) and settled(k) for k in ahead):
+            break
+        around = [known[order[k]][1] for k in range(max(0, place - reach), min(len(order), place + reach + 1)) if k != place]
         mean = sum(around) / len(around) if around else 0.0
-        t, value = known[at]
+        t, value, _ = known[order[place]]
         if value >= K.MIN_CONTENT_VALUE and mean > 1e-6 and value / mean >= K.ADAPTIVE_RATIO:
             ratio = value / mean
-            cuts.append((at, t, ratio, min(0.98, 0.62 + (ratio - K.ADAPTIVE_RATIO) / 8)))
-        at += 1
-    return cuts, at
+            cuts.append((order[place], t, ratio, min(0.98, 0.62 + (ratio - K.ADAPTIVE_RATIO) / 8)))
+        place += 1
+    if place:
+        at = max(at, order[place - 1] + 1)
+    return cuts, at, order[max(0, place - reach)] if order else at
 
 
 class CutProcessor(StatefulProcessor):
@@ -49,32 +65,33 @@ class CutProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "frame_idx bigint", "t double, value double")
+        self.rows = handle.getMapState("rows", "frame_idx bigint", "t double, value double, ts bigint")
         self.next = handle.getValueState("next", "frame_idx bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived, newest = {}, 0
         for batch in rows:
             newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            arrived.update({int(i): (float(t), float(v)) for i, t, v in zip(batch["frame_idx"], batch["t"], batch["content_value"])})
+            columns = (batch[c] for c in ("frame_idx", "t", "content_value", "ts"))
+            arrived.update({int(i): (float(t), float(v), int(ts.timestamp() * 1000)) for i, t, v, ts in zip(*columns)})
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        yield self._ready(key, arrived, final=False)
+        yield self._ready(key, arrived, timerValues.getCurrentWatermarkInMs(), final=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._ready(key, {}, final=True)
+        yield self._ready(key, {}, timerValues.getCurrentWatermarkInMs(), final=True)
 
-    def _ready(self, key, arrived: dict, final: bool) -> pd.DataFrame:
+    def _ready(self, key, arrived: dict, passed: int, final: bool) -> pd.DataFrame:
         """Judge every frame whose context is complete; only the unfinished tail stays in state."""
-        stored = {int(k[0]): (float(v[0]), float(v[1])) for k, v in self.rows.iterator()}
-        known = stored | arrived
+        stored = {int(k[0]): (float(v[0]), float(v[1]), int(v[2])) for k, v in self.rows.iterator()}
         at = int(self.next.get()[0]) if self.next.exists() else 0
-        cuts, at = find_cuts(known, at, final)
-        for old in [i for i in stored if i < at - K.ROLLING_ROWS]:
+        arrived = {i: row for i, row in arrived.items() if i >= at}
+        cuts, at, needed = find_cuts(stored | arrived, at, final, passed)
+        for old in [i for i in stored if i < needed]:
             self.rows.removeKey((old,))
         for i, row in arrived.items():
-            if i >= at - K.ROLLING_ROWS:
+            if i >= needed:
                 self.rows.updateValue((i,), row)
         self.next.update((at,))
         return pd.DataFrame([(*key, *cut) for cut in cuts], columns=["video_id", "frame_idx", "t", "ratio", "confidence"])
@@ -86,8 +103,8 @@ class CutProcessor(StatefulProcessor):
 def stream_cuts(frames: DataFrame, idle_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
     """Cuts of each video as soon as their two following frames have arrived.
 
-    ``frames(video_id, frame_idx, t, content_value, ts)`` with dense ``frame_idx``. Needs the
-    RocksDB state store.
+    ``frames(video_id, frame_idx, t, content_value, ts)`` with ``frame_idx`` from 0. A missing frame
+    delays what follows until the watermark has passed the gap. Needs the RocksDB state store.
     """
     video = dict(frames.dtypes)["video_id"]
     return frames.withWatermark("ts", delay).groupBy("video_id").transformWithStateInPandas(

@@ -11,7 +11,7 @@ from queries.common import r6, registry, s6
 
 JOBS, SQL, register = registry()
 
-TPL = r"""tpl AS (SELECT 'tpl-' || (doc_id % 900) AS id, array_to_string((list_filter(string_split(regexp_replace(text, '[\n\t]', ' ', 'g'), ' '), lambda w: w <> ''))[1:4], ' ') AS title, lang, source, doc_id % 3 = 0 AS built_in, n_chars / 100.0 AS duration, doc_id FROM documents)"""
+TPL = r"""tpl AS (SELECT 'tpl-' || (doc_id % 900) AS id, array_to_string(list_filter(string_split(regexp_replace(text, '[\n\t]', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS title, lang, source, doc_id % 3 = 0 AS built_in, n_chars / 100.0 AS duration, doc_id FROM documents)"""
 
 
 @register("source_info", f"""WITH m AS (SELECT doc_id AS source_id, n_chars / 40e0 AS seconds, (doc_id % 4) * 15e0 AS fps, 640 + doc_id % 1300 AS w, 480 + doc_id % 900 AS h, (doc_id % 4) * 90 AS rot, doc_id % 3 <> 0 AS has_audio, text FROM documents)
@@ -76,15 +76,15 @@ def _(spark, sf):
     return catalog.search_projects(A.projects(spark, sf), " High 1 ", "favorites").select("project_id")
 
 
-@register("diag_report", f"""WITH l AS (SELECT user_id AS source_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'timing' WHEN 2 THEN 'warning' ELSE 'failure' END AS level, value AS seconds, (event_id % 500) * 1e0 AS mb, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events),
-k AS (SELECT * FROM l WHERE rn <= 40)
+@register("diag_report", f"""WITH l AS (SELECT user_id AS source_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'timing' WHEN 2 THEN 'warning' ELSE 'failure' END AS level, value AS seconds, (event_id % 500) * 1e0 AS mb FROM events),
+k AS (SELECT * FROM l)
 SELECT source_id, category, count(*) AS entries, count(*) FILTER (level IN ('warning', 'failure')) AS problems, {s6("sum(seconds) FILTER (level = 'timing')", 'timed_seconds')}, {s6('max(mb)', 'category_peak_mb')}, any_value(pk) AS peak_mb, any_value(n) AS kept
 FROM k JOIN (SELECT source_id, max(mb) AS pk, count(*) AS n FROM k GROUP BY 1) p USING (source_id) GROUP BY 1, 2""")
 def _(spark, sf):
     e = F.col("event_id")
     log = A.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), e.alias("seq"), F.get(F.array(*[F.lit(v) for v in ("info", "timing", "warning", "failure")]), (e % 4).cast("int")).alias("level"),
                                               F.col("event_type").alias("category"), F.col("value").alias("seconds"), ((e % 500) * 1.0).alias("memory_mb"))
-    r = catalog.diag_report(log, 40)
+    r = catalog.diag_report(log)
     return r.select("source_id", "category", "entries", "problems", r6("timed_seconds").alias("timed_seconds"), r6("category_peak_mb").alias("category_peak_mb"), "peak_mb", "kept")
 
 

@@ -210,10 +210,11 @@ def _(spark, sf):
     return timeline.clamp_audio_moves(asked, audio, pool).select("clip_id", r6("new_start").alias("new_start"), r6("new_duration").alias("new_duration"))
 
 
-@register("caption_layers", r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '[\n\t]', ' ', 'g'), ' '), lambda w: w <> '') AS ws, greatest(0, turn * 2.5e0 - 1) AS a, least(12e0, turn * 2.5e0 + 2.2e0 - 1) AS b FROM conversations WHERE turn * 2.5e0 + 2.2e0 - 1 > 0 AND turn * 2.5e0 - 1 < 12),
+@register("caption_layers", r"""WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) * 2.5e0 + 1 AS clip FROM conversations),
+s AS (SELECT conv_id, turn, clip, list_filter(string_split(regexp_replace(text, '[\n\t]', ' ', 'g'), ' '), lambda w: w <> '') AS ws, greatest(0, turn * 2.5e0 - 1) AS a, least(clip, turn * 2.5e0 + 2.2e0 - 1) AS b FROM m WHERE turn * 2.5e0 + 2.2e0 - 1 > 0 AND turn * 2.5e0 - 1 < clip),
 c AS (SELECT *, len(ws) AS n, unnest(range((len(ws) - 1) // 5 + 1)) AS chunk FROM s WHERE len(ws) > 0),
 l AS (SELECT *, a + (b - a) * (chunk * 5) / n AS cs, CASE WHEN chunk * 5 + 5 < n THEN a + (b - a) * (chunk * 5 + 5) / n ELSE b END AS ce FROM c)
-SELECT conv_id AS project_id, turn AS segment_id, CAST(chunk AS INT) AS chunk, array_to_string(ws[chunk * 5 + 1:chunk * 5 + 5], ' ') AS text, """ + s6("0.5 + cs", "start_t") + ", " + s6("least(11, 0.5 + greatest(ce, cs + 0.4))", "end_t") + " FROM l WHERE least(11, 0.5 + greatest(ce, cs + 0.4)) > 0.5 + cs + 0.05")
+SELECT conv_id AS project_id, turn AS segment_id, CAST(chunk AS INT) AS chunk, array_to_string(ws[chunk * 5 + 1:chunk * 5 + 5], ' ') AS text, """ + s6("0.5 + cs", "start_t") + ", " + s6("least(clip + 0.3e0, 0.5 + greatest(ce, cs + 0.4))", "end_t") + " FROM l WHERE least(clip + 0.3e0, 0.5 + greatest(ce, cs + 0.4)) > 0.5 + cs + 0.05")
 def _(spark, sf):
     c = timeline.caption_layers(A.segments(spark, sf))
     return c.select("project_id", "segment_id", F.col("chunk").cast("int").alias("chunk"), "text", r6("layer_start").alias("start_t"), r6("layer_end").alias("end_t"))

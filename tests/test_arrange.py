@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cutlens.operators import assign, edits, text
+from cutlens.operators import assign, edits, shots, text
 from cutlens.streaming.streams import find_cuts
 
 
@@ -83,8 +83,30 @@ def test_replay_with_undo_redo_and_structure(spark):
 
 
 def test_streamed_cuts_wait_for_context_and_flush():
-    frames = {i: (i / 30, 0.42 if i in (5, 11) else 0.004) for i in range(12)}
-    cuts, at = find_cuts(frames, 0, final=False)
-    assert [c[0] for c in cuts] == [5] and at == 10
-    cuts, at = find_cuts(frames, at, final=True)
+    frames = {i: (i / 30, 0.42 if i in (5, 11) else 0.004, 1000 * i) for i in range(12)}
+    cuts, at, needed = find_cuts(frames, 0, final=False)
+    assert [c[0] for c in cuts] == [5] and at == 10 and needed == 8
+    cuts, at, _ = find_cuts(frames, at, final=True)
     assert [c[0] for c in cuts] == [11] and at == 12
+
+
+def test_streamed_cuts_go_on_after_a_missing_frame():
+    frames = {i: (i / 30, 0.42 if i == 25 else 0.004, 1000 * i) for i in range(40) if i != 10}
+    cuts, at, _ = find_cuts(frames, 0, final=False, passed=11_000)
+    assert cuts == [] and at == 8  # frames 8 and 9 wait: frame 10 may still come
+    cuts, at, needed = find_cuts(frames, at, final=False, passed=11_001)
+    assert [c[0] for c in cuts] == [25] and at == 38 and needed == 36
+    cuts, at, _ = find_cuts(frames, 0, final=True)
+    assert [c[0] for c in cuts] == [25] and at == 40
+
+
+def test_a_run_without_its_end_pictures_is_no_dissolve(spark):
+    level = lambda i: 0.2 if i < 20 else 0.8 if i > 28 else 0.2 + 0.6 * (i - 19) / 10
+    frames = spark.createDataFrame([("v", i, i / 30, 0.03 if 20 <= i <= 28 else 0.003, 0.5, 0.25) for i in range(60)], "video_id string, frame_idx bigint, t double, content_value double, luma_mean double, luma_std double")
+    pictures = lambda gone: spark.createDataFrame([("v", i, [level(i)] * 32) for i in range(60) if i not in gone], "video_id string, frame_idx bigint, thumb array<double>")
+    whole = shots.detect_gradual(frames, pictures([])).collect()
+    assert [r.kind for r in whole] == ["dissolve"]
+    inside = shots.detect_gradual(frames, pictures([23])).collect()
+    assert [r.kind for r in inside] == ["dissolve"] and abs(inside[0].confidence - whole[0].confidence) < 0.01
+    assert shots.detect_gradual(frames, pictures([29])).collect() == []
+
