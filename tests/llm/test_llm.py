@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -103,8 +103,6 @@ def test_components_of_chains_and_stars(spark):
 
 def test_packing_is_whole_and_tight(layers):
     df, texts = layers
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     got = packing.pack_layers(df, path, budget=256).collect()
@@ -359,13 +357,12 @@ def test_archive_round_trip_and_seek(spark, tmp_path):
     assert hashlib.sha1(b"").digest() and archive.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=100, deadline=None)
+@example("a" + " " * 1200 + "x" * 10_500)
 @given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0aB9é漢'!.ts"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_ranked_ids_are_those_of_the_tokenizer(text):
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
-    plain = Tokenizer.from_file(path)
+    plain = packing._ids(path).tokenizer
     assert packing._ids(path).ranked is not None
-    for t in (text, text + "<|endoftext|> " + text, text + " " * 1200 + "x" * 10_500):
+    for t in (text, text + "<|endoftext|> " + text):
         assert np.frombuffer(packing._ids(path).of(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
