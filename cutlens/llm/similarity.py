@@ -52,13 +52,14 @@ def link_similar(
     sets = cut_lineage(layers.mapInArrow(_prefixes(shingle, ratio, shared, _arrow_key(layers)), fields))
 
     linkable = sets.filter("n > 0 AND layer_id IS NOT NULL")
-    heads = linkable.groupBy("set_key").agg(F.min("layer_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = linkable.join(heads.select("class_id", "set_key"), [linkable["layer_id"] == heads["class_id"], linkable["set_key"] == heads["set_key"]]).select(
-        "class_id", "n", "least", "tokens", "indexed"
-    )
-    alike = classes.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).alias("parts"))
-    group = F.xxhash64("least", F.pmod(F.xxhash64("class_id"), F.col("parts")))
-    grouped = cut_lineage(classes.join(alike, "least").select("class_id", "n", "tokens", "indexed", group.alias("group_id")).distinct())
+    # what is read off a set is the same for all its holders, so one aggregate names the class and keeps it
+    of_set = [F.first(c).alias(c) for c in ("n", "least", "tokens", "indexed")]
+    classes = cut_lineage(linkable.groupBy("set_key").agg(F.min("layer_id").alias("class_id"), *of_set))
+    heads = classes.select("set_key", "class_id")
+    # an id with several texts heads several classes; each keeps its own group
+    crowded = classes.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).alias("parts")).filter("parts > 1")
+    group = F.xxhash64("least", F.pmod(F.xxhash64("class_id"), F.coalesce("parts", F.lit(1))))
+    grouped = classes.join(crowded, "least", "left").select("class_id", "n", "tokens", "indexed", group.alias("group_id"))
 
     words = grouped.mapInArrow(_exploded(_arrow_key(layers)), f"class_id {key}, n long, group_id long, token long, in_index boolean")
     matrix = words.filter("in_index").groupBy("token", "group_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
