@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cutlens.functions import constants as K
 from cutlens.functions.geometry import center_x, center_y, clamp, framing_index
 from cutlens.functions.labels import feature_distance
-from cutlens.operators.ordered import positions
+from cutlens.operators.ordered import positions, running_max
 from cutlens.session import cut_lineage
 
 PROJECT = ["project_id"]
@@ -341,10 +341,14 @@ def assign_assets(slots: DataFrame, assets: DataFrame, features: DataFrame, lock
 def best_of_seeds(scored: DataFrame) -> DataFrame:
     """Pick a seed per project: later seeds count only while the best so far has repeat issues.
 
-    ``scored(project_id, seed, total, repeats)`` with one row per seed.
+    ``scored(project_id, seed, total, repeats)`` with one row per seed. Each best so far is a strict
+    running maximum, so the pick is the first of those without repeats, or else the last of them.
     """
-    runs = scored.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("seed", "total", "repeats"))).alias("runs"))
-    first = F.get("runs", F.lit(0))
-    better = lambda best, run: (best["repeats"] > 0) & (run["total"] > best["total"])
-    best = F.aggregate(F.slice("runs", 2, F.size("runs")), first, lambda b, x: F.when(better(b, x), x).otherwise(b))
-    return runs.select("project_id", best.alias("b")).select("project_id", "b.*")
+    ordered = positions(scored.select("project_id", "seed", "total", "repeats"), PROJECT, ["seed"], F.expr("seed div 4096"))
+    highest = running_max(ordered, PROJECT, "pos", F.struct(F.col("total"), (-F.col("pos")).alias("back")), "_top")
+    record = F.col("_top")["back"] == -F.col("pos")
+    settled = record & F.coalesce(F.col("repeats") <= 0, F.lit(True))
+    run = F.struct("seed", "total", "repeats")
+    best = highest.groupBy("project_id").agg(
+        F.min_by(run, F.when(settled, F.col("pos"))).alias("first"), F.max_by(run, F.when(record, F.col("pos"))).alias("last"))
+    return best.select("project_id", F.coalesce("first", "last").alias("b")).select("project_id", "b.*")
