@@ -158,6 +158,11 @@ def _best(root: Node, v: np.ndarray, ids: list, longest: float, centre: np.ndarr
 
     def offer(rows: np.ndarray, _: np.ndarray) -> None:
         scores = v[rows] @ q
+        if state["bound"] < math.inf:  # k are held: a lower score than the worst of them changes nothing
+            near = scores >= found[0][0]
+            rows, scores = rows[near], scores[near]
+            if not len(rows):
+                return
         for r, s in zip(rows.tolist(), scores.tolist()):
             held = len(ids[r]) - (own in ids[r])
             if held:
