@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cutlens.llm.similarity import _arrow_key
 
 #: Prints of a page, of a shard (one tree), and queries sent to a shard at a time.
-PAGE, SHARD, QUERIES = 64, 8192, 256
+PAGE, SHARD, QUERIES = 256, 8192, 256
 SCALE = 64
 
 
@@ -160,9 +160,13 @@ def _best(root: Node, v: np.ndarray, ids: list, longest: float, centre: np.ndarr
         scores = v[rows] @ q
         if state["bound"] < math.inf:  # k are held: a lower score than the worst of them changes nothing
             near = scores >= found[0][0]
-            rows, scores = rows[near], scores[near]
-            if not len(rows):
-                return
+        elif len(scores) > k + 1:  # the query's own entry may be one of k + 1
+            near = scores >= np.partition(scores, -k - 1)[-k - 1]
+        else:
+            near = np.ones(len(scores), bool)
+        rows, scores = rows[near], scores[near]
+        if not len(rows):
+            return
         for r, s in zip(rows.tolist(), scores.tolist()):
             held = len(ids[r]) - (own in ids[r])
             if held:
