@@ -7,7 +7,7 @@ are written once, as an ingest job would land them with their frame numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlens.functions import color, geometry as g
@@ -91,9 +91,25 @@ def ocr_hits(spark: SparkSession, folder: str) -> DataFrame:
     turn = F.col("turn")
     heads = c.filter("turn % 4 = 0").select("conv_id", turn.alias("_head"), F.regexp_replace("text", r"[\n\t]", " ").alias("_text"))
     rows = c.select("conv_id", "turn", (turn - turn % 4).alias("_head")).join(heads, ["conv_id", "_head"])
+    return _placed(rows, F.array_join(F.slice(F.split("_text", " "), 1, (2 + turn % 4).cast("int")), " "))
+
+
+def turn_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of a conversation as text hits every .4 s, in the places of ``ocr_hits``. Each shows its
+    whole text after those of the turns before it in its row of four, so what is on screen grows."""
+    plain = F.regexp_replace("text", r"[\n\t]", " ")
+    turn = F.col("turn")
+    blocks = table(spark, folder, "conversations").groupBy("conv_id", (turn - turn % 4).alias("_head")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.coalesce(plain, F.lit("")).alias("text")))).alias("_turns"))
+    rows = blocks.select("conv_id", "_turns", F.posexplode("_turns").alias("_at", "_own"))
+    shown = F.array_join(F.slice(F.col("_turns.text"), 1, F.col("_at") + 1), " ")
+    return _placed(rows.select("conv_id", F.col("_own.turn").alias("turn"), shown.alias("_text")), F.col("_text"))
+
+
+def _placed(rows: DataFrame, text: Column) -> DataFrame:
+    turn = F.col("turn")
     return rows.select(
-        F.col("conv_id").alias("video_id"), turn.alias("hit_id"), (turn * 0.4).alias("t"),
-        F.array_join(F.slice(F.split("_text", " "), 1, (2 + turn % 4).cast("int")), " ").alias("text"), (0.3 + (turn % 7) / 10.0).alias("confidence"),
+        F.col("conv_id").alias("video_id"), turn.alias("hit_id"), (turn * 0.4).alias("t"), text.alias("text"), (0.3 + (turn % 7) / 10.0).alias("confidence"),
         g.rect(0.1 + (F.expr("turn div 3") % 2) * 0.1, 0.1 + (F.expr("turn div 4") % 2) * 0.4, 0.4 + (turn % 4) * 0.08, F.lit(0.08)).alias("frame"))
 
 

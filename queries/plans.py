@@ -21,7 +21,7 @@ def _observations(spark, sf) -> Observations:
     items, pixels from orders, text from conversations, beats and tempo from events."""
     frames = A.frames(spark, sf)
     seconds = cut_lineage(A.durations(frames))
-    hits = A.ocr_hits(spark, sf)
+    hits = A.turn_hits(spark, sf)
     onset = A.onset(spark, sf)
     tempo = cut_lineage(audio.estimate_tempo(onset, 2, 8).select(F.col("track_id").alias("video_id"), "bpm", "confidence", "basis"))
     beats = frames.filter("content_value > 0.1").select("video_id", "t")

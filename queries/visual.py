@@ -292,7 +292,7 @@ def _(spark, sf):
 
 @register("text_tracks")
 def _(spark, sf):
-    hits = A.ocr_hits(spark, sf)
+    hits = A.turn_hits(spark, sf)
     seconds = hits.groupBy("video_id").agg((F.max("t") + 1).alias("video_seconds"))
     return text.text_tracks(hits, seconds).select(
         "video_id", "track", "text", r6("start").alias("start_t"), r6("end").alias("end_t"), *rect6("frame"), r6("mean_confidence").alias("mean_confidence"), "is_watermark", "observations", "growth")

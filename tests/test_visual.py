@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cutlens.functions import motion as mot
 from cutlens.operators import motion, palette, shots
+from cutlens.sources import adapters
+from queries.visual import JOBS
 
 SCHEMA = "video_id string, frame_idx bigint, t double, content_value double, luma_mean double, luma_std double"
 
@@ -109,3 +111,14 @@ def test_dominant_colors_match_plain_lloyd(spark):
     got = palette.dominant_colors(df, ["e"]).orderBy("rank").collect()
     for row, (n, c) in zip(got, want):
         assert row.n == n and all(abs(a - b) < 1e-9 for a, b in zip((row.r, row.g, row.b), c))
+
+
+def test_text_tracks_show_every_turn_in_full(spark, tmp_path):
+    said = [(7, turn, "user", f"turn{turn} " + " ".join(f"w{turn}x{k}" for k in range(9)) + f"\nlast{turn}") for turn in range(4)]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    shown = [t.replace("\n", " ") for *_, t in said]
+    hits = {r.hit_id: r.text for r in adapters.turn_hits(spark, str(tmp_path)).collect()}
+    assert hits == {k: " ".join(shown[: k + 1]) for k in range(4)}
+    tracks = JOBS["text_tracks"](spark, str(tmp_path)).collect()
+    words = {w for r in tracks for w in r.text.split(" ")}
+    assert words == {w for t in shown for w in t.split(" ")} and max(r.growth for r in tracks) > 0
