@@ -1,6 +1,7 @@
 """Hierarchical empirical-Bayes review of text layers: words, project and slot.
 
-A logistic model over telling words and marks of layout gives each layer its own evidence. Grouped sums of
+A logistic model over words and marks of layout gives each layer its own evidence. Every word of the labelled
+layers is in it; how far its weight is shrunk to 0 follows from the odds that it tells anything. Grouped sums of
 that evidence over all layers of a project, and of a slot within it, give posterior rates of low quality
 and of toxicity; a project with few layers is shrunk towards the corpus rate, a slot with few layers
 towards its project. The slot's rate then is the prior against which a layer's evidence is weighed.
@@ -13,18 +14,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlens.llm.textops import words_of
 from cutlens.session import cut_lineage
 
-#: Labelled layers the word model is fitted on, at most; those with the smallest hash of their id.
+#: Labelled layers the word model is fitted on, at most; spread evenly over sites and marks.
 FIT_LAYERS = 20_000
-#: A word counts as evidence if its shares in the two classes differ by so many standard errors.
-SIGNIFICANT = 6.0
-#: Words taken for each target, the strongest first: the size of the model.
-FEATURES = 256
 #: Rows of site rates up to which they are broadcast (about 100 bytes each); beyond, they are joined by key.
 BROADCAST_SITES = 50_000
 TARGETS = ("low_quality", "toxic")
@@ -44,10 +42,10 @@ def judge_layers(
     and slots are sites of their own. Without a usable review of both kinds for a target, its evidence is
     nil and its rate 0. Every row comes back once; an empty table gives an empty result.
 
-    Only the word model is fitted on a bounded sample (``fit_layers``); rates use every layer. The model
-    has at most as many words as that sample; site rates are broadcast only up to ``BROADCAST_SITES`` rows.
+    Only the word model is fitted on a bounded sample (``fit_layers``); rates and prior odds use every layer.
+    The model has every word of that sample; site rates are broadcast only up to ``BROADCAST_SITES`` rows.
     """
-    model = fit_evidence(text_layers, reviews, layer_id, text, low_quality, toxic, fit_layers)
+    model = fit_evidence(text_layers, reviews, layer_id, project_id, slot_id, text, low_quality, toxic, fit_layers)
     shared = text_layers.sparkSession.sparkContext.broadcast(model)
     sites = [F.col(project_id).alias("_project"), F.col(slot_id).alias("_slot")]
     site_evidence = text_layers.select(*sites, F.col(text).alias("_text")).mapInArrow(_score(shared, "_text", ["_project", "_slot"]), _ddl(text_layers, project_id, slot_id))
@@ -64,75 +62,136 @@ def judge_layers(
     return judged.withColumn("rejected", F.greatest(*TARGETS) >= cut)
 
 
-def fit_evidence(text_layers, reviews, layer_id, text, low_quality, toxic, fit_layers=FIT_LAYERS) -> dict:
-    """Evidence of each significant word and the prior odds, by target, from at most ``fit_layers`` reviews."""
-    marks = [F.max(F.col(c).cast("int")).alias(t) for c, t in zip((low_quality, toxic), TARGETS)]
-    known = reviews.filter(F.col(layer_id).isNotNull()).groupBy(F.col(layer_id).alias("_id")).agg(*marks)
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_layers)  # 20,000 short rows: small by the limit
+def fit_evidence(text_layers, reviews, layer_id, project_id, slot_id, text, low_quality, toxic, fit_layers=FIT_LAYERS) -> dict:
+    """Evidence of each word and the prior odds, by target; words from at most ``fit_layers`` reviews."""
+    sample, tally = label_sample(text_layers, reviews, layer_id, project_id, slot_id, low_quality, toxic, fit_layers)
     seen = text_layers.select(F.col(layer_id).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_key") == F.col("_id"))
-    hits = seen.select("_text", *TARGETS).mapInArrow(_marked_words, "word binary, low_quality int, toxic int")
-    counted = hits.groupBy("word").agg(*[F.sum((F.col(t) == v).cast("long")).alias(f"{t}{v}") for t in TARGETS for v in (0, 1)])
-    frequent = counted.filter(F.greatest(*[F.col(f"{t}1") for t in TARGETS], F.lit(0)) + F.least(*[F.col(f"{t}0") for t in TARGETS]) >= 8)
-    table = frequent.toArrow()  # words that at least 8 of the bounded sample's layers have
-    words = table.column("word").to_pylist()
-    everywhere = words.index(b"") if b"" in words else None
-    chosen: set[bytes] = set()
-    for t in TARGETS:
-        c0, c1 = (table.column(f"{t}{v}").to_numpy().astype(float) for v in (0, 1))
-        n0, n1 = (c0[everywhere], c1[everywhere]) if everywhere is not None else (0.0, 0.0)
-        if n0 and n1:
-            p = (c0 + c1 + 0.5) / (n0 + n1 + 1)
-            z = np.abs((c1 + 0.5) / (n1 + 1) - (c0 + 0.5) / (n0 + 1)) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
-            z[everywhere] = 0
-            chosen.update(words[k] for k in np.argsort(-z, kind="stable")[:FEATURES] if z[k] >= SIGNIFICANT)
-    place = {w: k for k, w in enumerate(sorted(chosen))}
-    fields = ", ".join(["found array<int>", *[f"{t} int" for t in TARGETS]])
-    rows = seen.select("_text", *TARGETS).mapInArrow(_present(place), fields).toArrow()  # the bounded sample again
-    model: dict = {"prior": [], "base": [], "words": {w: [0.0] * len(TARGETS) for w in place}}
-    lists = rows.column("found").to_pylist()
-    for i, t in enumerate(TARGETS):
-        marks = rows.column(t).to_pylist()
-        known = [k for k, m in enumerate(marks) if m is not None]
-        y = np.array([marks[k] for k in known], np.float64)
+    once = seen.groupBy("_id", "_site", *TARGETS).agg(F.min("_text").alias("_text"))
+    kind = sample.schema["_id"].dataType.simpleString()
+    listed = once.select("_id", "_site", *TARGETS, "_text").mapInArrow(_listed_words, f"_id {kind}, _site string, low_quality int, toxic int, found array<binary>")
+    rows = listed.toArrow().sort_by("_id")  # the bounded sample
+    coded = pa.concat_arrays([c.flatten() for c in rows.column("found").chunks] or [pa.array([], pa.binary())]).dictionary_encode()
+    rank = np.argsort(np.array(pc.array_sort_indices(coded.dictionary)))  # words are numbered in their order
+    owner = np.repeat(np.arange(len(rows)), pc.list_value_length(rows.column("found")).to_numpy())
+    word = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    site = np.unique(np.array(rows.column("_site").to_pylist(), object), return_inverse=True)[1] if len(rows) else np.zeros(0, np.int64)
+    weights = np.zeros((len(rank), len(TARGETS)))
+    model: dict = {"prior": [], "base": [], "words": sorted(coded.dictionary.to_pylist()), "weights": weights}
+    marked = [rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS]
+    del rows, coded  # the driver's memory
+    for i, (t, marks) in enumerate(zip(TARGETS, marked)):
+        known = ~np.isnan(marks)
+        y = marks[known]
         if not len(y) or y.min() == y.max():
             model["prior"].append(float(y[0]) if len(y) else 0.0), model["base"].append(0.0)
             continue
-        x = np.zeros((len(known), len(place) + 1), np.float32)
-        x[:, -1] = 1
-        for r, k in enumerate(known):
-            x[r, lists[k]] = 1
-        weights = _logistic(x, y)
-        prior = float(y.mean())
-        model["prior"].append(prior), model["base"].append(float(weights[-1] - math.log(prior / (1 - prior))))
-        for w, k in place.items():
-            model["words"][w][i] = float(weights[k])
+        held = known[owner]
+        words = _Incidence((np.cumsum(known) - 1)[owner[held]], word[held], len(y), len(rank))
+        fitted = _logistic(words, y, _telling(words, y, site[known]))
+        n0, n1 = (sum(r["_many"] for r in tally if r[t] == v) for v in (0, 1))
+        model["prior"].append(n1 / (n0 + n1)), model["base"].append(float(fitted[-1] - math.log(y.mean() / (1 - y.mean()))))
+        weights[:, i] = fitted[:-1]
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression, by Newton steps; the last column is the constant."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def label_sample(text_layers, reviews, layer_id, project_id, slot_id, low_quality, toxic, fit_layers=FIT_LAYERS) -> tuple[DataFrame, list]:
+    """At most ``fit_layers`` reviewed layers, one row each (``_id``, ``_site``, the marks), and the numbers of
+    all reviewed layers by their marks. Each site and pair of marks gives as many as the others or all it has:
+    a hash of the id, times the number of its kind, is about its rank among them."""
+    marks = [F.max(F.col(c).cast("int")).alias(t) for c, t in zip((low_quality, toxic), TARGETS)]
+    known = reviews.filter(F.col(layer_id).isNotNull()).groupBy(F.col(layer_id).alias("_id")).agg(*marks)
+    place = F.to_json(F.struct(F.col(project_id).alias("p"), F.col(slot_id).alias("s")))
+    places = text_layers.select(F.col(layer_id).alias("_key"), place.alias("_site"))
+    located = cut_lineage(known.join(places, F.col("_id") == F.col("_key")).groupBy("_id", *TARGETS).agg(F.min("_site").alias("_site")))
+    strata = cut_lineage(located.groupBy("_site", *TARGETS).agg(F.count(F.lit(1)).alias("_many")))
+    tally = strata.groupBy(*TARGETS).agg(F.sum("_many").alias("_many")).collect()  # at most nine rows
+    kinds = strata.select(F.col("_site").alias("_at"), *[F.col(t).alias(f"_of_{t}") for t in TARGETS], "_many")
+    if strata.count() <= BROADCAST_SITES:
+        kinds = F.broadcast(kinds)
+    same = F.col("_site").eqNullSafe(F.col("_at"))
+    for t in TARGETS:
+        same = same & F.col(t).eqNullSafe(F.col(f"_of_{t}"))
+    turn = F.shiftrightunsigned(F.xxhash64("_id"), 11) / float(1 << 53) * F.col("_many")
+    return located.join(kinds, same).orderBy(turn, "_id").limit(fit_layers).select("_id", "_site", *TARGETS), tally
+
+
+class _Incidence:
+    """Which words each layer has, for sums over either; pairs come in order of the layer."""
+
+    def __init__(self, layer: np.ndarray, word: np.ndarray, n_layers: int, n_words: int):
+        self.word, self.layer_of = word, layer[np.argsort(word, kind="stable")]
+        self.layers, self.words = (self._runs(k, n) for k, n in ((layer, n_layers), (word, n_words)))
+
+    @staticmethod
+    def _runs(keys, n):
+        count = np.bincount(keys, minlength=n)
+        some = np.flatnonzero(count)
+        return n, some, (np.cumsum(count) - count)[some]
+
+    @staticmethod
+    def _sums(values, runs):
+        out = np.zeros(runs[0])
+        if len(runs[1]):
+            out[runs[1]] = np.add.reduceat(values, runs[2])
+        return out
+
+    def by_layer(self, of_words: np.ndarray) -> np.ndarray:
+        return self._sums(of_words[self.word], self.layers)
+
+    def by_word(self, of_layers: np.ndarray) -> np.ndarray:
+        return self._sums(of_layers[self.layer_of], self.words)
+
+
+def _telling(words: _Incidence, y: np.ndarray, site: np.ndarray) -> np.ndarray:
+    """Posterior odds, as a probability, that a word tells the classes apart: its count among the marked layers
+    against the rates of the sites it is in (a word of one language is no evidence of that language's rate),
+    with a Beta(1/2, 1/2) rate otherwise. The share of telling words is fitted to all words."""
+    size = np.bincount(site)
+    rate = ((np.bincount(site, weights=y) + 2 * y.mean()) / (size + 2))[site]
+    n, marked = (np.rint(words.by_word(v)).astype(np.int64) for v in (np.ones(len(y)), y))
+    expected = np.clip(words.by_word(rate) / np.maximum(n, 1), 1e-6, 1 - 1e-6)
+    top = int(n.max(initial=0)) + 1
+    half, whole = (np.array([math.lgamma(k + c) for k in range(top)]) for c in (0.5, 1.0))
+    odds = half[marked] + half[n - marked] - whole[n] - math.log(math.pi) - marked * np.log(expected) - (n - marked) * np.log(1 - expected)
+    share = 0.01
+    for _ in range(100):
+        before, telling = share, 1 / (1 + np.exp(-np.clip(odds + math.log(share / (1 - share)), -700, 700)))
+        share = min(max(float(telling[n > 0].mean()) if n.any() else 0.0, 1 / (len(n) + 1)), 0.5)
+        if abs(share - before) < 1e-4 * before:
+            break
+    return telling
+
+
+def _logistic(words: _Incidence, y: np.ndarray, telling: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression whose ridge penalty is ``penalty`` for a word that surely tells the
+    classes apart and grows as that becomes unlikely; Newton steps by conjugate gradients; last the constant."""
+    w = np.zeros(len(telling) + 1)
+    ridge = np.append(penalty / np.maximum(telling, 1e-6), 1e-6)
+    ahead = lambda v: words.by_layer(v[:-1]) + v[-1]
+    back = lambda r: np.append(words.by_word(r), r.sum())
+    for k in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(ahead(w), -30, 30)))
         curve = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * curve[:, None].astype(np.float32)).T.astype(np.float64) @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        left, scale, step = back(y - p) - ridge * w, back(curve) + ridge, np.zeros(len(w))
+        goal = (1e-2 if k else 1e-1) * np.linalg.norm(left)
+        along = left / scale
+        gain = left @ along
+        for _ in range(50):
+            if not gain or np.linalg.norm(left) <= goal:
+                break
+            bent = back(curve * ahead(along)) + ridge * along
+            size = gain / (along @ bent)
+            step += size * along
+            left = left - size * bent
+            eased = left / scale
+            gain, was = left @ eased, gain
+            along = eased + gain / was * along
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def _present(place: dict[bytes, int]):
-    def find(batches):
-        for batch in batches:
-            found = [sorted(place[w] for w in evidence_words(t) & place.keys()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *[batch.column(i + 1) for i in range(len(TARGETS))]], ["found", *TARGETS])
-
-    return find
-
-
 def site_rates(site_evidence: DataFrame) -> DataFrame:
     """``_project``, ``_slot`` and the shrunk rate of each target (``_r0``, ``_r1``): slot towards project,
     project towards corpus, with a strength taken from how much the rates differ between sites."""
@@ -196,19 +255,10 @@ def evidence_words(text: str | None) -> set[bytes]:
     return found
 
 
-def _marked_words(batches):
+def _listed_words(batches):
     for batch in batches:
-        marks = [batch.column(i + 1).to_pylist() for i in range(len(TARGETS))]
-        words, owner = [], []
-        for row, t in enumerate(batch.column(0).to_pylist()):
-            found = evidence_words(t)
-            words.extend(found)
-            owner.extend([row] * len(found))
-        for at in range(0, len(words), 50_000):
-            take = owner[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[at : at + 50_000], pa.binary()), *[pa.array([m[r] for r in take], pa.int32()) for m in marks]], ["word", *TARGETS]
-            )
+        found = [sorted(evidence_words(t) - {b""}) for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.binary()))], [*batch.schema.names[:-1], "found"])
 
 
 def _score(shared, text: str, kept: list[str]):
@@ -219,14 +269,14 @@ def _score(shared, text: str, kept: list[str]):
 
     def score(batches):
         model = shared.value
-        known = model["words"].keys()
+        place = {w: k for k, w in enumerate(model["words"])}
+        weights = model["weights"]
         for batch in batches:
             out = [np.zeros(batch.num_rows) + b for b in model["base"]]
             for row, t in enumerate(batch.column(text).to_pylist()):
-                for w in sorted(evidence_words(t) & known):
-                    weights = model["words"][w]
-                    for i in range(len(TARGETS)):
-                        out[i][row] += weights[i]
+                found = sorted(place[w] for w in evidence_words(t) if w in place)
+                for i, total in enumerate(weights[found].sum(axis=0)):
+                    out[i][row] += total
             if for_sites:
                 prior = np.clip(np.array(model["prior"]), 1e-12, 1 - 1e-12)
                 out = [1 / (1 + np.exp(-np.clip(np.log(p / (1 - p)) + x, -700, 700))) if model["prior"][i] else np.zeros(len(x)) for i, (p, x) in enumerate(zip(prior, out))]

@@ -197,6 +197,34 @@ def test_quality_holds_out(spark):
     assert quality.judge_layers(df.limit(0), reviews).collect() == []
 
 
+def test_words_of_a_rare_language_reject(spark):
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(900):
+        es, toxic = i % 15 == 0, i % 90 == 0
+        w = [("es" if es else "") + rng.choice(WORDS) for _ in range(30)]
+        if toxic:
+            w[rng.randrange(len(w))] = "podrido"
+        rows.append((i, "site", "es" if es else "en", " ".join(w)))
+        if i < 450:
+            marks.append((i, 0, int(toxic)))
+    df = spark.createDataFrame(rows, "layer_id bigint, project_id string, slot_id string, text string")
+    reviews = spark.createDataFrame(marks, "layer_id bigint, low_quality int, toxic int")
+    got = {r.layer_id: r.rejected for r in quality.judge_layers(df, reviews).collect()}  # five marked layers have the word
+    assert {i for i in got if got[i]} == {i for i in range(900) if i % 90 == 0}
+
+
+def test_label_sample_is_even_over_sites_and_marks(spark):
+    rows = [(i, "a", "es" if i % 100 == 0 else "en", f"t{i}") for i in range(5000)]
+    df = spark.createDataFrame([*rows, *rows[:500]], "layer_id bigint, project_id string, slot_id string, text string")
+    reviews = spark.createDataFrame([(i, 0, int(i % 200 == 0 or i % 9 == 1)) for i in range(5000)], "layer_id bigint, low_quality int, toxic int")
+    sample, tally = quality.label_sample(df, reviews, "layer_id", "project_id", "slot_id", "low_quality", "toxic", 400)
+    got = sample.collect()
+    assert len({r._id for r in got}) == len(got) == 400 and sum(r["_many"] for r in tally) == 5000
+    sizes = Counter((r._site, r.toxic) for r in got)
+    assert len(sizes) == 4 and all(n >= 15 for n in sizes.values())  # the two kinds of es have 22 and 28
+
+
 def test_sparse_sites_shrink_towards_their_project(spark):
     rows = [("a", f"s{k}", 0.1, 0.0) for k in range(50) for _ in range(20)] + [("b", "big", 0.9, 0.0)] * 400 + [("b", "one", 0.1, 0.0)]
     rates = {(r._project, r._slot): r._r0 for r in quality.site_rates(spark.createDataFrame(rows, "_project string, _slot string, p0 double, p1 double")).collect()}
