@@ -14,6 +14,7 @@ from cutlens.llm.fingerprints import edited_likeness
 from cutlens.llm.packing import pack_layers
 from cutlens.llm.pieces import decode_layers, encode_layers
 from cutlens.llm.quality import judge_layers
+from cutlens.llm.ranking import rank_layers
 from cutlens.llm.similarity import link_similar
 from cutlens.llm.topk import top_prints
 from cutlens.llm.urlrules import judge_urls
@@ -142,3 +143,24 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("project_id"), F.col("url").alias("uri"), F.col("html").alias("document"))
     index = write_archive(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
     return read_archive(index).select(F.col("project_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op13_ranking", f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS layers, CAST(sum(n) AS BIGINT) AS terms FROM d),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * layers + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term), s),
+p AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * layers) // terms))))) AS BIGINT) AS score
+      FROM w JOIN c USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM p WHERE score > 0) WHERE rank <= 10""")
+def ranking(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("search_id"), "text")
+    found = rank_layers(layers_of(spark, folder), items, k=10)
+    return found.withColumnRenamed("search_id", "item_id").withColumnRenamed("layer_id", "doc_id")
