@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutlens.llm.alignment import align_layers
 from cutlens.llm.archive import read_archive, write_archive
 from cutlens.llm.chat import rotate_perspectives
 from cutlens.llm.fingerprints import edited_likeness
 from cutlens.llm.packing import pack_layers
+from cutlens.llm.passages import remove_repeated_bytes
 from cutlens.llm.pieces import decode_layers, encode_layers
 from cutlens.llm.quality import judge_layers
 from cutlens.llm.ranking import rank_layers
@@ -145,6 +147,19 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_archive(index).select(F.col("project_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_passages")
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeated_bytes(layers_of(spark, folder), window=400)
+    return kept.select(F.col("layer_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_alignment")
+def alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align_layers(layers_of(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return aligned.select(F.col("layer_id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 _TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 
