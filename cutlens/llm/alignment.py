@@ -24,7 +24,7 @@ from cutlens.llm.similarity import _arrow_key
 from cutlens.session import cut_lineage
 
 #: Bytes of a range (a layer with more is cut), code points of a bundle, fragments composed in one step of the tree.
-CHUNK_BYTES, BUNDLE_CHARS, COMPOSED = 65_536, 8_000_000, 16
+CHUNK_BYTES, BUNDLE_CHARS, COMPOSED = 65_536, 2_000_000, 16
 #: A blank between letters or digits: no token of either kind reaches over it from the left.
 _SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -71,11 +71,12 @@ def align_layers(
 
     bundled = pieces.unionByName(cut).repartition("_bundle")
     asked = bundled.groupBy("_bundle").applyInArrow(_asked(files), "_bundle int, pair long, docs long").repartition("pair")
-    counts = asked.select("pair", "docs").unionByName(held).groupBy("pair").agg(F.sum("docs").alias("layers"))
+    # both readers of `asked` take all of its columns, so that they share one exchange
+    counts = asked.unionByName(held.withColumn("_bundle", F.lit(-1))).groupBy("pair").agg(F.sum("docs").alias("layers"), F.count("_bundle").alias("_bundles"))
     first = F.shiftright("pair", 32)
     most = counts.groupBy(first.alias("a")).agg(F.max("layers").alias("most"))
-    rated = counts.join(most, first == F.col("a")).select("pair", "layers", (F.col("layers") == F.col("most")).alias("best"))
-    told = asked.select("_bundle", "pair").join(rated, "pair")
+    rated = counts.filter("_bundles > 0").join(most, first == F.col("a")).select("pair", "layers", (F.col("layers") == F.col("most")).alias("best"))
+    told = asked.join(rated, "pair").select("_bundle", "pair", "docs", "layers", "best")
     out = f"layer_id {kind}, document long, start long, {', '.join(f'{c} long' for c in _SUMS)}, groups string"
     aligned = bundled.groupBy("_bundle").cogroup(told.groupBy("_bundle")).applyInArrow(_aligned(files, key), out)
     whole = aligned.filter("document IS NULL").select("layer_id", *_SUMS, "groups")
@@ -155,15 +156,20 @@ def _pair(byte_tokenizer: str, piece_model: str) -> _Pair:
     return _Pair(byte_tokenizer, piece_model)
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeezed(a: np.ndarray, b: np.ndarray) -> bytes:
     both = np.concatenate([a, b])
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, both.itemsize).T).tobytes()) if len(both) else b""
+    return _zstd()[0].compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, both.itemsize).T).tobytes()) if len(both) else b""
 
 
 def _stretched(raw: bytes, n_a: int, width) -> tuple[np.ndarray, np.ndarray]:
     if not raw:
         return np.empty(0, width), np.empty(0, width)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(width).itemsize, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(np.dtype(width).itemsize, -1)
     both = np.ascontiguousarray(planes.T).view(width).ravel()
     return both[:n_a], both[n_a:]
 
@@ -327,7 +333,7 @@ def _compose(key: pa.DataType):
         for r in rows:
             a_ends, b_ends = (np.frombuffer(r[c], np.int64) for c in ("a_ends", "b_ends"))
             n = len(a_ends) + len(b_ends)
-            width = np.uint16 if not n or len(zstandard.ZstdDecompressor().decompress(r["ids"])) == 2 * n else np.uint32
+            width = np.uint16 if not n or len(_zstd()[1].decompress(r["ids"])) == 2 * n else np.uint32
             a, b = _stretched(r["ids"], r["n_a"], width)
             parts.setdefault(r["chunk"], {})[r["role"]] = (a, a_ends, b, b_ends)
         layer, document, out, whole = rows[0]["layer_id"], rows[0]["document"], [], None
@@ -399,11 +405,16 @@ def _asked(files):
     """Pairs of a bundle, and how many of its whole layers hold each."""
 
     def ask(table: pa.Table) -> pa.Table:
-        stream = _Stream(_pair(*files), table)
-        pairs, code = np.unique(stream.pair, return_inverse=True)
-        whole = table.column("document").is_null().to_numpy()[stream.link_row]
-        once = np.unique(stream.link_row[whole] * max(1, len(pairs)) + code[whole]) % max(1, len(pairs))
-        docs = np.bincount(once, minlength=len(pairs))
+        pair = _pair(*files)
+        stream = _Stream(pair, table)
+        whole = table.column("document").is_null().to_numpy()
+        code = stream.link_a * len(pair.b_len) + stream.link_b
+        keys = np.sort(stream.link_row * (len(pair.a_len) * len(pair.b_len)) + code)  # a layer's pairs, once each
+        row, code = np.divmod(keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]], len(pair.a_len) * len(pair.b_len))
+        held, docs = np.unique(code[whole[row]], return_counts=True)
+        other = np.setdiff1d(code[~whole[row]], held)
+        code, docs = np.concatenate([held, other]), np.concatenate([docs, np.zeros(len(other), np.int64)])
+        pairs = (code // len(pair.b_len) << 32) | code % len(pair.b_len)
         owner = pa.array(np.full(len(pairs), table.column("_bundle")[0].as_py(), np.int32))
         return pa.table({"_bundle": owner, "pair": pa.array(pairs), "docs": pa.array(docs)})
 
