@@ -69,19 +69,21 @@ def align_layers(
     cut = closed.unionByName(heads).withColumn("_bundle", F.pmod(F.xxhash64("document", "start"), F.lit(bundles)).cast("int"))
     held = closed.mapInArrow(_held_pairs(files), "document long, pair long").distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
 
-    bundled = pieces.unionByName(cut).repartition("_bundle")
-    asked = bundled.groupBy("_bundle").applyInArrow(_asked(files), "_bundle int, pair long, docs long").repartition("pair")
+    # whole layers and parts of long ones go their own ways, so that neither is aligned twice
+    sides = [pieces.repartition("_bundle"), cut.repartition("_bundle")]
+    asked = [side.groupBy("_bundle").applyInArrow(_asked(files), "_bundle int, pair long, docs long").withColumn("_cut", F.lit(k)) for k, side in enumerate(sides)]
+    asked = asked[0].unionByName(asked[1]).repartition("pair")
     # both readers of `asked` take all of its columns, so that they share one exchange
-    counts = asked.unionByName(held.withColumn("_bundle", F.lit(-1))).groupBy("pair").agg(F.sum("docs").alias("layers"), F.count("_bundle").alias("_bundles"))
+    counts = asked.unionByName(held.withColumns({"_bundle": F.lit(-1), "_cut": F.lit(2)})).groupBy("pair").agg(F.sum("docs").alias("layers"), F.count("_bundle").alias("_bundles"), F.min("_cut").alias("_least"))
     first = F.shiftright("pair", 32)
     most = counts.groupBy(first.alias("a")).agg(F.max("layers").alias("most"))
-    rated = counts.filter("_bundles > 0").join(most, first == F.col("a")).select("pair", "layers", (F.col("layers") == F.col("most")).alias("best"))
-    told = asked.join(rated, "pair").select("_bundle", "pair", "docs", "layers", "best")
+    rated = counts.filter("_bundles > 0 AND _least < 3").join(most, first == F.col("a")).select("pair", "layers", (F.col("layers") == F.col("most")).alias("best"))
+    told = asked.join(rated, "pair").select("_bundle", "_cut", "pair", "docs", "layers", "best")
     out = f"layer_id {kind}, document long, start long, {', '.join(f'{c} long' for c in _SUMS)}, groups string"
-    aligned = bundled.groupBy("_bundle").cogroup(told.groupBy("_bundle")).applyInArrow(_aligned(files, key), out)
-    whole = aligned.filter("document IS NULL").select("layer_id", *_SUMS, "groups")
+    whole, parts_of = (side.groupBy("_bundle").cogroup(told.filter(F.col("_cut") == k).groupBy("_bundle")).applyInArrow(_aligned(files, key), out) for k, side in enumerate(sides))
+    whole = whole.select("layer_id", *_SUMS, "groups")
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("start") >= 0, F.struct("start", "groups")))), lambda x: x["groups"]), ";")
-    joined = aligned.filter("document IS NOT NULL").groupBy("document").agg(F.first("layer_id").alias("layer_id"), *[F.sum(c).alias(c) for c in _SUMS], text_of.alias("groups"))
+    joined = parts_of.groupBy("document").agg(F.first("layer_id").alias("layer_id"), *[F.sum(c).alias(c) for c in _SUMS], text_of.alias("groups"))
     return whole.unionByName(joined.drop("document"))
 
 
