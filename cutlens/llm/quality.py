@@ -10,15 +10,15 @@ towards its project. The slot's rate then is the prior against which a layer's e
 from __future__ import annotations
 
 import math
-import re
+import operator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutlens.llm.textops import words_of
+from cutlens.llm.textops import CACHE_WORDS, words_of
 from cutlens.session import cut_lineage
 
 #: Labelled layers the word model is fitted on, at most; spread evenly over sites and marks.
@@ -27,7 +27,8 @@ FIT_LAYERS = 20_000
 BROADCAST_SITES = 50_000
 TARGETS = ("low_quality", "toxic")
 _EDGE = b".,;:!?\"'()*#%&$"
-_LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
+_NO_LETTERS = bytes(b for b in range(128) if not 65 <= b <= 90 and not 97 <= b <= 122)
+_NO_WORD = np.uint64(xxhash.xxh64_intdigest(b""))
 
 
 def judge_layers(
@@ -68,17 +69,17 @@ def fit_evidence(text_layers, reviews, layer_id, project_id, slot_id, text, low_
     seen = text_layers.select(F.col(layer_id).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_key") == F.col("_id"))
     once = seen.groupBy("_id", "_site", *TARGETS).agg(F.min("_text").alias("_text"))
     kind = sample.schema["_id"].dataType.simpleString()
-    listed = once.select("_id", "_site", *TARGETS, "_text").mapInArrow(_listed_words, f"_id {kind}, _site string, low_quality int, toxic int, found array<binary>")
-    rows = listed.toArrow().sort_by("_id")  # the bounded sample
-    coded = pa.concat_arrays([c.flatten() for c in rows.column("found").chunks] or [pa.array([], pa.binary())]).dictionary_encode()
-    rank = np.argsort(np.array(pc.array_sort_indices(coded.dictionary)))  # words are numbered in their order
-    owner = np.repeat(np.arange(len(rows)), pc.list_value_length(rows.column("found")).to_numpy())
-    word = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    listed = once.select("_id", "_site", *TARGETS, "_text").mapInArrow(_listed_words, f"_id {kind}, _site string, low_quality int, toxic int, found binary")
+    rows = listed.toArrow().sort_by("_id")  # the bounded sample: eight bytes a word
+    found = [r for c in rows.column("found").chunks for r in c.to_pylist()]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.array([len(r) // 8 for r in found], np.int64))
+    known_words, word = np.unique(np.frombuffer(b"".join(found), np.uint64), return_inverse=True)
+    word = word.astype(np.int32)
     site = np.unique(np.array(rows.column("_site").to_pylist(), object), return_inverse=True)[1] if len(rows) else np.zeros(0, np.int64)
-    weights = np.zeros((len(rank), len(TARGETS)))
-    model: dict = {"prior": [], "base": [], "words": sorted(coded.dictionary.to_pylist()), "weights": weights}
+    weights = np.zeros((len(known_words), len(TARGETS)))
+    model: dict = {"prior": [], "base": [], "words": known_words, "weights": weights}
     marked = [rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS]
-    del rows, coded  # the driver's memory
+    del rows, found  # the driver's memory
     for i, (t, marks) in enumerate(zip(TARGETS, marked)):
         known = ~np.isnan(marks)
         y = marks[known]
@@ -86,7 +87,7 @@ def fit_evidence(text_layers, reviews, layer_id, project_id, slot_id, text, low_
             model["prior"].append(float(y[0]) if len(y) else 0.0), model["base"].append(0.0)
             continue
         held = known[owner]
-        words = _Incidence((np.cumsum(known) - 1)[owner[held]], word[held], len(y), len(rank))
+        words = _Incidence((np.cumsum(known, dtype=np.int32) - 1)[owner[held]], word[held], len(y), len(known_words))
         fitted = _logistic(words, y, _telling(words, y, site[known]))
         n0, n1 = (sum(r["_many"] for r in tally if r[t] == v) for v in (0, 1))
         model["prior"].append(n1 / (n0 + n1)), model["base"].append(float(fitted[-1] - math.log(y.mean() / (1 - y.mean()))))
@@ -232,33 +233,44 @@ def _sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def evidence_words(text: str | None) -> set[bytes]:
-    """Distinct words without edge punctuation, A-Z lower-cased, and marks of layout; always has ``b""``."""
-    raw = words_of(text)
-    found = {w.strip(_EDGE).lower() for w in raw}
-    found.add(b"")
-    n = len(raw)
-    if n:
-        letters = [len(b"".join(_LETTERS.findall(text.encode()))), sum(map(len, raw))]
+class EvidenceWords(dict):
+    """Hashes of the words of texts, without edge punctuation and with A-Z lower-cased, and of marks of layout. Words
+    are remembered; beyond ``CACHE_WORDS`` of them the memory starts anew."""
+
+    def __missing__(self, word: bytes) -> tuple[int, bool]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.strip(_EDGE).lower()), word[:2].isupper()
+        return value
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Distinct hashes, ascending; a text without words has none."""
+        raw = words_of(text)
+        n = len(raw)
+        if not n:
+            return np.empty(0, np.uint64)
+        hashes, capitals = zip(*map(self.__getitem__, raw))
+        found = np.unique(np.array(hashes, np.uint64))
+        found = found[found != _NO_WORD]
+        whole = text.encode()
         shares = {
-            b"capitals": sum(w[:2].isupper() for w in raw) / n,
-            b"marks": 1 - letters[0] / letters[1],
+            b"capitals": sum(capitals) / n,
+            b"marks": 1 - len(whole.translate(None, _NO_LETTERS)) / sum(map(len, raw)),
             b"bars": raw.count(b"|") / n,
-            b"new": len(found) / n,
-            b"heads": sum(1 for a, b in zip(raw, raw[1:]) if a == b) / n,
+            b"new": (len(found) + 1) / n,
+            b"heads": sum(map(operator.eq, raw, raw[1:])) / n,
         }
-        for name, share in shares.items():
-            found.add(b"\x00" + name + b"%d" % int(20 * share))
         lines = text.split("\n")
-        found.add(b"\x00lines%d" % int(5 * (1 - len(set(lines)) / len(lines))))
-        found.add(b"\x00size%d" % int(math.log2(n)))
-    return found
+        marks = [name + b"%d" % int(20 * share) for name, share in shares.items()]
+        marks += [b"lines%d" % int(5 * (1 - len(set(lines)) / len(lines))), b"size%d" % int(math.log2(n))]
+        return np.unique(np.concatenate([found, np.array([xxhash.xxh64_intdigest(b"\x00" + m) for m in marks], np.uint64)]))
 
 
 def _listed_words(batches):
+    words = EvidenceWords()
     for batch in batches:
-        found = [sorted(evidence_words(t) - {b""}) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.binary()))], [*batch.schema.names[:-1], "found"])
+        found = [words.of(t).tobytes() for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "found"])
 
 
 def _score(shared, text: str, kept: list[str]):
@@ -268,15 +280,15 @@ def _score(shared, text: str, kept: list[str]):
     names = ["p0", "p1"] if for_sites else ["_low_quality", "_toxic"]
 
     def score(batches):
-        model = shared.value
-        place = {w: k for k, w in enumerate(model["words"])}
-        weights = model["weights"]
+        model, words = shared.value, EvidenceWords()
+        known, weights = model["words"], model["weights"]
         for batch in batches:
-            out = [np.zeros(batch.num_rows) + b for b in model["base"]]
-            for row, t in enumerate(batch.column(text).to_pylist()):
-                found = sorted(place[w] for w in evidence_words(t) if w in place)
-                for i, total in enumerate(weights[found].sum(axis=0)):
-                    out[i][row] += total
+            found = [words.of(t) for t in batch.column(text).to_pylist()]
+            every = np.concatenate(found) if found else np.empty(0, np.uint64)
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+            held = known[at] == every if len(known) else np.zeros(len(every), bool)
+            out = [np.bincount(owner[held], weights[at[held], i], minlength=batch.num_rows) + b for i, b in enumerate(model["base"])]
             if for_sites:
                 prior = np.clip(np.array(model["prior"]), 1e-12, 1 - 1e-12)
                 out = [1 / (1 + np.exp(-np.clip(np.log(p / (1 - p)) + x, -700, 700))) if model["prior"][i] else np.zeros(len(x)) for i, (p, x) in enumerate(zip(prior, out))]
