@@ -58,8 +58,6 @@ WEIGHTS = {
     "duration": 1.2, "reuse": 2.5, "adjacent": 1.5, "duplicate": 0.55, "softness": 0.45,
     "chronology": 0.3, "subject": 0.2,
 }
-# multiplier and increment of the shuffle generator
-SHUFFLE_MULTIPLIER, SHUFFLE_INCREMENT = 6364136223846793005, 1442695040888963407
 
 # Audio mix
 DUCK_LEVEL = 0.22

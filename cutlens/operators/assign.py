@@ -9,15 +9,14 @@ faces, print)``. ``region`` and ``subject`` are rectangles; every feature may be
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlens.functions import constants as K
 from cutlens.functions.geometry import center_x, center_y, clamp, framing_index
 from cutlens.functions.labels import feature_distance
-from cutlens.operators.ordered import positions, running_max
+from cutlens.operators.auction import cheapest_options
+from cutlens.operators.ordered import positions, running_max, with_neighbours
 from cutlens.session import cut_lineage
 
 PROJECT = ["project_id"]
@@ -152,190 +151,122 @@ def near_duplicates(features: DataFrame, threshold: float = W["duplicate"]) -> D
         "project_id", "asset_id", "other_id", "distance")
 
 
-def _cheapest(cost: np.ndarray) -> np.ndarray:
-    """Minimum-cost column for each row of a wide matrix, by shortest augmenting paths."""
-    rows, cols = cost.shape
-    u, v, owner = np.zeros(rows), np.zeros(cols), np.full(cols, -1)
-    for row in range(rows):
-        dist, via, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
-        at, base, col = row, 0.0, -1
-        while True:
-            reduced = base + cost[at] - u[at] - v
-            better = ~done & (reduced < dist)
-            dist[better], via[better] = reduced[better], col
-            open_ = np.where(done, np.inf, dist)
-            col = int(open_.argmin())
-            base = open_[col]
-            done[col] = True
-            if owner[col] < 0:
-                break
-            at = owner[col]
-        settled = done & (dist < base)
-        u[row] += base
-        u[owner[settled]] += base - dist[settled]
-        v[settled] -= base - dist[settled]
-        while col >= 0:
-            previous = via[col]
-            owner[col] = row if previous < 0 else owner[previous]
-            col = previous
-    answer = np.full(rows, -1)
-    answer[owner[owner >= 0]] = np.nonzero(owner >= 0)[0]
-    return answer
-
-
-def _shuffled(n: int, seed: int) -> list[int]:
-    order = list(range(n))
-    if seed:
-        mask = (1 << 64) - 1
-        state = (seed * K.SHUFFLE_MULTIPLIER + 1) & mask
-        for i in range(n - 1, 0, -1):
-            state = (state * K.SHUFFLE_MULTIPLIER + K.SHUFFLE_INCREMENT) & mask
-            j = (state >> 33) % (i + 1)
-            order[i], order[j] = order[j], order[i]
-    return order
-
-
-def _diversify(pick: np.ndarray, cost: np.ndarray, likeness: np.ndarray, seed: int) -> np.ndarray:
-    """Swap pairs of slots while that lowers cost plus the likeness of neighbours; two passes."""
-    n = len(pick)
-    if n <= 2:
-        return pick
-    rows, order = np.arange(n), _shuffled(n, seed)
-    total = lambda p: cost[rows, p].sum() + likeness[p[:-1], p[1:]].sum()
-    best = total(pick)
-    for _ in range(2):
-        improved = False
-        for x in range(n):
-            for y in range(x + 1, n):
-                trial = pick.copy()
-                trial[[order[x], order[y]]] = trial[[order[y], order[x]]]
-                value = total(trial)
-                if value < best - 1e-9:
-                    pick, best, improved = trial, value, True
-        if not improved:
-            break
-    return pick
-
-
-def _matrix(pdf: pd.DataFrame, missing: float) -> tuple[list, pd.DataFrame, np.ndarray]:
-    slots = pdf.drop_duplicates("slot_id").sort_values("scene_idx")["slot_id"].tolist()
-    columns = pdf.drop_duplicates(["reuse", "arrival"]).sort_values(["reuse", "arrival"]).reset_index(drop=True)
-    slot_at = {s: i for i, s in enumerate(slots)}
-    col_at = {c: i for i, c in enumerate(zip(columns["asset_id"], columns["reuse"]))}
-    cost = np.full((len(slots), len(columns)), missing)
-    rows, cols = [slot_at[s] for s in pdf["slot_id"]], [col_at[c] for c in zip(pdf["asset_id"], pdf["reuse"])]
-    cost[rows, cols] = pdf["total"]
-    return slots, columns, cost
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cheapest columns for one project's slots out of its pruned candidates."""
-    slots, columns, cost = _matrix(pdf, 1e9)
-    pick = columns.iloc[_cheapest(cost)]
-    return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "slot_id": slots, "asset_id": pick["asset_id"].to_numpy(), "reuse": pick["reuse"].to_numpy()})
-
-
-def _refine(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Swap one project's chosen columns between its slots for variety, once per seed."""
-    slots, columns, cost = _matrix(pdf, np.nan)
-    chosen = pdf.loc[pdf["chosen"], ["slot_id", "asset_id", "reuse"]].set_index("slot_id")
-    col_at = {c: i for i, c in enumerate(zip(columns["asset_id"], columns["reuse"]))}
-    exact = np.array([col_at[tuple(chosen.loc[s])] for s in slots])
-    prints = [None if p is None or len(p) == 0 else np.asarray(p, dtype=float) for p in columns["print"]]
-    likeness = np.zeros((len(columns), len(columns)))
-    for i, a in enumerate(columns["asset_id"]):
-        for j, b in enumerate(columns["asset_id"]):
-            if a == b:
-                likeness[i, j] = 2 * W["adjacent"]
-            elif prints[i] is not None and prints[j] is not None and prints[i].shape == prints[j].shape:
-                apart = float(np.sqrt(((prints[i] - prints[j]) ** 2).sum()))
-                likeness[i, j] = max(0.0, 1 - apart / W["duplicate"]) * W["adjacent"]
-    out = []
-    for seed in pdf["seeds"].iloc[0]:
-        pick = _diversify(exact, cost, likeness, int(seed))
-        named = columns.iloc[pick]
-        out.append(pd.DataFrame({
-            "project_id": pdf["project_id"].iloc[0], "seed": int(seed), "slot_id": slots, "asset_id": named["asset_id"].to_numpy(),
-            "reuse": named["reuse"].to_numpy(), "total": cost[np.arange(len(slots)), pick],
-        }))
-    return pd.concat(out)
-
-
-def assign_assets(slots: DataFrame, assets: DataFrame, features: DataFrame, locks: DataFrame | None = None,
-                  seeds: tuple[int, ...] = (0,)) -> DataFrame:
-    """Minimum-cost assignment per project, then neighbour variety: one row per seed and slot.
-
-    ``locks(project_id, slot_id, asset_id)`` pins slots. An asset may be used again for a price
-    when a project has fewer assets than slots. A slot of a project with n slots can always do
-    with one of its n cheapest columns, so only those reach the exact solver: the work per
-    project is bounded by its slots, however many assets it holds.
-    """
+def _plan(slots: DataFrame, assets: DataFrame, locks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pinned slots, open slots, and how often each project may use an asset."""
     if locks is None:
         locks = slots.select(*SLOT).withColumn("asset_id", F.lit(None)).limit(0).join(assets.select("project_id").limit(0), "project_id", "left_semi")
         locks = locks.withColumn("asset_id", F.col("asset_id").cast(dict(assets.dtypes)["asset_id"]))
     pinned = locks.join(slots.select(*SLOT, "scene_idx"), SLOT).join(assets.select("project_id", "asset_id"), ["project_id", "asset_id"], "left_semi")
     pinned = pinned.join(visuals(assets).select("project_id").distinct(), "project_id", "left_semi")  # without visuals nothing is assigned
-    used = pinned.groupBy("project_id", "asset_id").agg(F.count(F.lit(1)).alias("_used"))
     sizes = slots.groupBy("project_id").agg(F.count(F.lit(1)).alias("_all"))
     open_slots = slots.join(pinned.select(*SLOT), SLOT, "left_anti")
     needs = open_slots.groupBy("project_id").agg(F.count(F.lit(1)).alias("_open"))
-    pool = visuals(assets)
-    have = pool.groupBy("project_id").agg(F.count(F.lit(1)).alias("_have"))
+    have = visuals(assets).groupBy("project_id").agg(F.count(F.lit(1)).alias("_have"))
     locked = pinned.groupBy("project_id").agg(F.lit(1).alias("_locked"))
     plan = needs.join(sizes, "project_id").join(have, "project_id").join(locked, "project_id", "left").withColumn(
         "_repeats", F.greatest(F.lit(1), F.ceil(F.col("_open") / F.col("_have")) + F.coalesce("_locked", F.lit(0))).cast("int"))
+    return pinned, open_slots, cut_lineage(plan)
 
-    plan = cut_lineage(plan)
-    ranks = cut_lineage(chrono_rank(assets).select("project_id", "asset_id", "chrono", "arrival"))
-    place = F.col("scene_idx") / F.greatest(F.lit(1), F.col("_all") - 1)
 
-    def columns(of_assets: DataFrame) -> DataFrame:
-        """Cost of every open slot with every use of the given assets."""
-        base = (
-            slot_asset_costs(open_slots, of_assets, features).select(*SLOT, "scene_idx", "asset_id", "cost")
-            .join(plan, "project_id").join(ranks, ["project_id", "asset_id"]).join(used, ["project_id", "asset_id"], "left")
-            .withColumn("_base", F.col("cost") + F.abs(F.col("chrono") - place) * W["chronology"])
-        )
-        return base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_repeats") - 1))).withColumn(
-            "reuse", (F.col("_r") + F.coalesce("_used", F.lit(0))).cast("int")).withColumn(
-            "total", F.col("_base") + F.col("reuse") * W["reuse"])
-
-    most = plan.agg(F.max("_open")).first()[0] or 0
-    order = Window.partitionBy(*SLOT).orderBy("total", "reuse", "arrival")
-    # the literal bound lets Spark cut the ranking map-side before the exact per-project bound
-    pruned = columns(assets).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).filter("_rn <= _open")
-    types = dict(slots.dtypes) | {"asset_id": dict(assets.dtypes)["asset_id"]}
-    head = f"project_id {types['project_id']}"
-    solved = cut_lineage(pruned.select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total").groupBy("project_id").applyInPandas(
-        _solve, f"{head}, slot_id string, asset_id {types['asset_id']}, reuse int"))
-
-    # variety is a question about the chosen columns only, at most one per slot
-    taken = solved.select("project_id", "asset_id", "reuse").distinct()
-    chosen_assets = assets.join(taken.select("project_id", "asset_id").distinct(), ["project_id", "asset_id"], "left_semi")
-    prints = features.select("project_id", "asset_id", F.transform("print", lambda x: x.cast("double")).alias("print"))
-    table = (
-        columns(chosen_assets).select(*SLOT, "scene_idx", "asset_id", "reuse", "arrival", "total")
-        .join(taken, ["project_id", "asset_id", "reuse"], "left_semi")
-        .join(solved.withColumn("chosen", F.lit(True)), [*SLOT, "asset_id", "reuse"], "left")
-        .join(prints, ["project_id", "asset_id"], "left")
-        .withColumn("chosen", F.coalesce("chosen", F.lit(False))).withColumn("seeds", F.array(*[F.lit(s) for s in seeds]))
+def option_costs(slots: DataFrame, assets: DataFrame, features: DataFrame, locks: DataFrame | None = None) -> DataFrame:
+    """Cost of every open slot with every use of its project's visuals: ``(project_id, slot_id, scene_idx, option,
+    cost)``, an option being ``(reuse, arrival, asset_id)``. An asset may be used again for a price when a project has fewer
+    assets than slots, or pins; one that is pinned starts as used."""
+    pinned, open_slots, plan = _plan(slots, assets, locks)
+    return _uses(open_slots, assets, features, pinned, plan, chrono_rank(assets).select("project_id", "asset_id", "chrono", "arrival"))
+
+
+def _uses(open_slots, assets, features, pinned, plan, ranks) -> DataFrame:
+    used = pinned.groupBy("project_id", "asset_id").agg(F.count(F.lit(1)).alias("_used"))
+    place = F.col("scene_idx") / F.greatest(F.lit(1), F.col("_all") - 1)
+    base = (
+        slot_asset_costs(open_slots, assets, features).select(*SLOT, "scene_idx", "asset_id", "cost")
+        .join(plan, "project_id").join(ranks, ["project_id", "asset_id"]).join(used, ["project_id", "asset_id"], "left")
+        .withColumn("_base", F.col("cost") + F.abs(F.col("chrono") - place) * W["chronology"])
     )
-    refined = table.groupBy("project_id").applyInPandas(
-        _refine, f"{head}, seed int, slot_id string, asset_id {types['asset_id']}, reuse int, total double")
+    reuse = (F.col("_r") + F.coalesce("_used", F.lit(0))).cast("int")
+    return base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_repeats") - 1))).select(
+        *SLOT, "scene_idx", F.struct(reuse.alias("reuse"), "arrival", "asset_id").alias("option"), (F.col("_base") + reuse * W["reuse"]).alias("cost"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Penalty for two picks side by side: the same asset, or prints closer than the duplicate distance."""
+    apart = feature_distance(a["print"], b["print"])
+    near = F.when(apart < W["duplicate"], (1 - apart / W["duplicate"]) * W["adjacent"])
+    return F.when(a["asset_id"] == b["asset_id"], 2 * W["adjacent"]).otherwise(F.coalesce(near, F.lit(0.0)))
+
+
+def vary(picks: DataFrame, max_swaps: int = 200) -> DataFrame:
+    """Exchange what two slots of a project show while that lowers cost plus the likeness of neighbours.
+
+    ``picks(project_id, seed, k, pick, costs)``: ``k`` counts the slots in order, ``costs`` is what each pick of the
+    project costs there, by the ``at`` of a pick ``(at, asset_id, print)``. A round takes one exchange a project and seed:
+    for seed 0 the best one, for others the first in an order that follows from the seed, so that seeds end in
+    different arrangements. Projects of two slots or fewer stay. Every exchange lowers the total, so rounds end.
+    """
+    keys = ["project_id", "seed"]
+    state = cut_lineage(picks.withColumn("moving", F.lit(True)))
+    for _ in range(max_swaps):
+        sided = with_neighbours(state.filter("moving"), keys, "k", 1, 1, lambda w: {"before": F.lag("pick").over(w), "after": F.lead("pick").over(w), "last": F.lead("k").over(w).isNull()})
+        row = F.struct("k", "pick", "costs", "before", "after")
+        x = sided.select(*keys, row.alias("x"))
+        y = sided.select(*keys, row.alias("y"))
+        X, Y = F.col("x"), F.col("y")
+        cost = lambda slot, pick: F.element_at(slot["costs"], pick["at"] + 1)
+        moved = cost(X, Y["pick"]) + cost(Y, X["pick"]) - cost(X, X["pick"]) - cost(Y, Y["pick"])
+        outer = lambda a, b: likeness(X["before"], a) + likeness(b, Y["after"])
+        inner = lambda a, b: likeness(a, X["after"]) + likeness(Y["before"], b)
+        sides = outer(Y["pick"], X["pick"]) - outer(X["pick"], Y["pick"]) + F.when(
+            Y["k"] - X["k"] > 1, inner(Y["pick"], X["pick"]) - inner(X["pick"], Y["pick"])).otherwise(F.lit(0.0))
+        pairs = x.join(y, keys).filter((X["k"] < Y["k"]) & ~((X["k"] == 0) & (Y["k"] == 1) & Y["after"].isNull()))
+        better = pairs.select(*keys, (moved + sides).alias("change"), X["k"].alias("kx"), Y["k"].alias("ky"), X["pick"].alias("px"), Y["pick"].alias("py")).filter("change < -1e-9")
+        turn = F.when(F.col("seed") == 0, F.col("change")).otherwise(F.xxhash64("seed", "kx", "ky").cast("double"))
+        chosen = better.groupBy(*keys).agg(F.min_by(F.struct("kx", "ky", "px", "py"), F.struct(turn, "kx", "ky")).alias("s"))
+        pick = F.when(F.col("k") == F.col("s.kx"), F.col("s.py")).when(F.col("k") == F.col("s.ky"), F.col("s.px")).otherwise(F.col("pick"))
+        state = cut_lineage(state.join(chosen, keys, "left").select(*keys, "k", pick.alias("pick"), "costs", F.col("s").isNotNull().alias("moving"), *[c for c in picks.columns if c not in (*keys, "k", "pick", "costs")]))
+        if state.filter("moving").isEmpty():
+            break
+    return state.drop("moving")
+
+
+def assign_assets(slots: DataFrame, assets: DataFrame, features: DataFrame, locks: DataFrame | None = None,
+                  seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """Cheapest assignment per project, then neighbour variety: one row per seed and slot.
+
+    ``locks(project_id, slot_id, asset_id)`` pins slots. The assignment is an auction over all projects at once
+    (``rounds``, and ``gap``: no assignment of the project is cheaper by more); the exchanges for variety start from it.
+    """
+    pinned, open_slots, plan = _plan(slots, assets, locks)
+    ranks = cut_lineage(chrono_rank(assets).select("project_id", "asset_id", "chrono", "arrival"))
+    solved = cut_lineage(cheapest_options(_uses(open_slots, assets, features, pinned, plan, ranks)))
+
+    # variety is a question about the chosen options only, one per slot
+    scenes = open_slots.select(*SLOT, "scene_idx")
+    placed = cut_lineage(positions(solved.join(scenes, SLOT), PROJECT, ["scene_idx", "slot_id"], F.expr("scene_idx div 4096"), out="k"))
+    prints = features.select("project_id", F.col("asset_id").alias("_asset"), F.transform("print", lambda v: v.cast("double")).alias("print"))
+    named = placed.join(prints, (placed["project_id"] == prints["project_id"]) & (F.col("option.asset_id") == F.col("_asset")), "left").select(
+        placed["project_id"], "option", F.struct(F.col("k").cast("int").alias("at"), F.col("option.reuse").alias("reuse"), F.col("option.asset_id").alias("asset_id"), "print").alias("pick"), "k")
+    taken = placed.select("project_id", F.col("option.asset_id").alias("asset_id")).distinct()
+    uses = _uses(open_slots, assets.join(taken, ["project_id", "asset_id"], "left_semi"), features, pinned, plan, ranks)
+    table = uses.join(named.select("project_id", "option", F.col("k").alias("_at")), ["project_id", "option"]).groupBy(*SLOT).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "cost"))), lambda c: c["cost"]).alias("costs"))
+    picks = placed.select(*SLOT, "k", "rounds", "gap").join(table, SLOT).join(named.drop("option"), ["project_id", "k"])
+    varied = vary(picks.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds]))))
+    refined = varied.select("project_id", "seed", "slot_id", F.col("pick.asset_id").alias("asset_id"), F.col("pick.reuse").alias("reuse"), F.element_at("costs", F.col("pick.at") + 1).alias("total"), "rounds", "gap")
 
     a, f, s = assets.alias("a"), features.alias("f"), slots.alias("s")
     r = refined.alias("r")
     same = lambda other: [F.col(f"r.project_id") == F.col(f"{other}.project_id"), F.col("r.asset_id") == F.col(f"{other}.asset_id")]
-    named = (
+    out = (
         r.join(a, same("a")).join(f, same("f"), "left")
         .join(s, [F.col("r.project_id") == F.col("s.project_id"), F.col("r.slot_id") == F.col("s.slot_id")])
         .select("r.project_id", "r.seed", "r.slot_id", "s.scene_idx", "r.asset_id", "r.total",
-                reason(reused=F.col("r.reuse") > 0).alias("reason"), F.lit(False).alias("locked"))
+                reason(reused=F.col("r.reuse") > 0).alias("reason"), F.lit(False).alias("locked"), "r.rounds", "r.gap")
     )
     pins = pinned.select(
         "project_id", F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed"), "slot_id", "scene_idx", "asset_id",
-        F.lit(0.0).alias("total"), F.lit("pinned by you").alias("reason"), F.lit(True).alias("locked"))
-    return named.unionByName(pins)
+        F.lit(0.0).alias("total"), F.lit("pinned by you").alias("reason"), F.lit(True).alias("locked"), F.lit(0).alias("rounds"), F.lit(0.0).alias("gap"))
+    return out.unionByName(pins)
 
 
 def best_of_seeds(scored: DataFrame) -> DataFrame:

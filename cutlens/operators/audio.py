@@ -254,23 +254,27 @@ def waveform_slice(waves: DataFrame, durations: DataFrame, requests: DataFrame)
 
 
 def speech_presence(spectra_: DataFrame, onset: DataFrame, bin_width: float = K.SAMPLE_RATE / K.FFT_SIZE, rate: float = K.ENVELOPE_RATE) -> DataFrame:
-    """Speech heuristic: share of 300-3400 Hz and a 3-8 Hz modulation peak."""
+    """Speech heuristic: share of 300-3400 Hz and a 3-8 Hz modulation peak. Too few frames, or spectra without
+    a bin inside the band, give a row that says so."""
     low, high = int(300 / bin_width), int(3400 / bin_width)
     total = F.aggregate("mags", F.lit(0.0), lambda a, m: a + m)
     band = F.aggregate(F.slice("mags", low + 1, F.least(F.lit(high), F.size("mags") - 1) - low + 1), F.lit(0.0), lambda a, m: a + m)
-    ratios = spectra_.filter(F.size("mags") - 1 > low).groupBy("track_id").agg(
-        (F.sum(F.when(total > 1e-6, F.try_divide(band, total)).otherwise(F.lit(0.0))) / F.count(F.lit(1))).alias("band_ratio"),
-        F.count(F.lit(1)).alias("_frames"),
+    fine = F.least(F.lit(high), F.size("mags") - 1) > low
+    ratios = spectra_.groupBy("track_id").agg(
+        (F.sum(F.when(fine & (total > 1e-6), F.try_divide(band, total)).otherwise(F.lit(0.0))) / F.count(F.lit(1))).alias("band_ratio"),
+        F.count(F.lit(1)).alias("_frames"), F.bool_and(fine).alias("_fine"),
     )
     lags = range(max(2, int(rate / 10)), int(rate / 1.5) + 1)
     best = autocorrelation(onset, lags).select("track_id", F.array_max(F.transform(
         F.filter("corr", lambda c: c["lag"] < F.col("n")), lambda c: F.struct(c["value"].alias("v"), (-c["lag"]).alias("neg_lag")))).alias("_b"))
-    joined = ratios.join(best, "track_id").withColumn("modulation_hz", F.try_divide(F.lit(rate), -F.col("_b.neg_lag")))
+    joined = ratios.join(best, "track_id", "left").withColumn("modulation_hz", F.try_divide(F.lit(rate), -F.col("_b.neg_lag")))
     by_band = F.col("band_ratio") > 0.62
-    by_rhythm = (F.col("modulation_hz") > 3.0) & (F.col("modulation_hz") < 8.0)
-    enough = F.col("_frames") > 8
+    by_rhythm = F.coalesce((F.col("modulation_hz") > 3.0) & (F.col("modulation_hz") < 8.0), F.lit(False))
+    long_enough, fine = F.col("_frames") > 8, F.col("_fine")
+    enough = long_enough & fine
     return joined.select(
         "track_id", "band_ratio", "modulation_hz", F.coalesce(enough & by_band & by_rhythm, F.lit(False)).alias("present"),
         F.when(~enough, 0.2).when(by_band & by_rhythm, 0.74).when(~by_band & ~by_rhythm, 0.71).otherwise(0.45).alias("confidence"),
-        F.format_string("300-3400Hz band ratio %.2f, modulation peak %.1fHz", "band_ratio", "modulation_hz").alias("basis"),
+        F.when(~long_enough, "insufficient audio for speech heuristic").when(~fine, "spectrogram too coarse for band analysis").otherwise(
+            F.format_string("300-3400Hz band ratio %.2f, modulation peak %.1fHz", F.col("band_ratio"), F.coalesce("modulation_hz", F.lit(0.0)))).alias("basis"),
     )

@@ -31,12 +31,19 @@ def coalescing_key(kind: Column, entity: Column) -> Column:
 
 
 def coalesce_edits(log: DataFrame) -> DataFrame:
-    """One row per step: an edit made while a gesture is open (``gesture`` not null) joins the edit before
-    it if both have the same key; the step keeps the first old value and the last new one. Without an
-    open gesture, or without the column, an edit is a step of its own."""
+    """One row per step: an edit joins the one before it if both have the key of the gesture that is open; the step
+    keeps the first old value and the last new one. ``gesture`` (an id, null when none is open) and
+    ``gesture_key`` tell which gesture a row was made in. An undo closes its gesture. Without an open gesture, or
+    without the columns, an edit is a step of its own."""
     key = coalescing_key(F.col("kind"), F.col("entity_id"))
-    open_ = F.col("gesture").isNotNull() if "gesture" in log.columns else F.lit(False)
-    keyed = log.withColumn("_key", key).withColumn("_open", open_)
+    if "gesture" in log.columns:
+        # only undos inside gestures, one row a gesture
+        closed = log.filter("kind = 'undo' AND gesture IS NOT NULL").groupBy("project_id", "gesture").agg(F.min("seq").alias("_closed"))
+        tagged = log.join(closed, ["project_id", "gesture"], "left")
+        open_ = F.coalesce((F.col("gesture_key") == key) & (F.col("_closed").isNull() | (F.col("seq") < F.col("_closed"))) & F.col("gesture").isNotNull(), F.lit(False))
+    else:
+        tagged, open_ = log, F.lit(False)
+    keyed = tagged.withColumn("_key", key).withColumn("_open", open_)
     starts = with_neighbours(keyed, PROJECT, "seq", 1, 0, lambda w: {"_same": F.col("_open") & F.coalesce(F.col("_key") == F.lag("_key").over(w), F.lit(False))})
     grouped = running_sum(starts, PROJECT, "seq", {"_group": F.when(F.col("_same"), 0).otherwise(1).cast("bigint")})
     extra = [c for c in ("index", "to_index", "amount") if c in log.columns]

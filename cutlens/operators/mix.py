@@ -17,8 +17,13 @@ PROJECT = ["project_id"]
 TRACK = ["project_id", "track_id"]
 
 
-def voice_intervals(audio: DataFrame) -> DataFrame:
-    return audio.filter((F.col("role") == "voice") & ~F.col("muted") & (F.col("volume") > 0)).select(
+def voice_intervals(audio: DataFrame, timelines: DataFrame | None = None) -> DataFrame:
+    """Audible voices, which music is lowered under; none in a project whose timeline has
+    ``duck_music_under_voice`` off (``timelines(project_id, duck_music_under_voice)``)."""
+    voices = audio.filter((F.col("role") == "voice") & ~F.col("muted") & (F.col("volume") > 0))
+    if timelines is not None:
+        voices = voices.join(timelines.filter("NOT duck_music_under_voice").select("project_id"), "project_id", "left_anti")
+    return voices.select(
         "project_id", F.col("start").alias("v_start"), (F.col("start") + F.col("duration")).alias("v_end"))
 
 
@@ -37,11 +42,11 @@ def duck_points(points: DataFrame, voices: DataFrame, level: float = K.DUCK_LEVE
     return found.select(*points.columns, F.least(F.coalesce(behind, F.lit(1.0)), F.coalesce(ahead, F.lit(1.0))).alias("duck"))
 
 
-def mix_plan(audio: DataFrame, clips: DataFrame, assets: DataFrame, cell: float = 10.0) -> DataFrame:
+def mix_plan(audio: DataFrame, clips: DataFrame, assets: DataFrame, timelines: DataFrame | None = None, cell: float = 10.0) -> DataFrame:
     """Gain envelope points ``(project_id, track_id, role, t, gain)`` of every audible track.
 
     ``assets(project_id, asset_id, kind)``: tracks of unknown assets are dropped, and only video
-    clips with volume make sound of their own.
+    clips with volume make sound of their own. ``timelines`` may switch ducking off, see ``voice_intervals``.
     """
     pool = assets.select("project_id", "asset_id", "kind")
     a = (
@@ -56,7 +61,7 @@ def mix_plan(audio: DataFrame, clips: DataFrame, assets: DataFrame, cell: float
                 "volume", F.lit(0.0).alias("fade_in"), F.lit(0.0).alias("fade_out"), edge.alias("edge"), F.lit(True).alias("ducked"))
     )
     tracks = a.unionByName(v)
-    voices = voice_intervals(audio)
+    voices = voice_intervals(audio, timelines)
 
     start, end = F.col("start"), F.col("end")
     own = F.array_compact(F.array(

@@ -49,9 +49,14 @@ def _overused():
     return F.coalesce((F.col("filled") >= 4) & (share > F.greatest(F.lit(0.4), fair + 0.12)), F.lit(False)), share
 
 
-def edit_quality(clips: DataFrame, assets: DataFrame | None = None, beats: DataFrame | None = None, fps: int = 30) -> DataFrame:
+def _without_clips(projects: DataFrame, clips: DataFrame) -> DataFrame:
+    return projects.select("project_id").distinct().join(clips.select("project_id"), "project_id", "left_anti")
+
+
+def edit_quality(clips: DataFrame, assets: DataFrame | None = None, beats: DataFrame | None = None, fps: int = 30, projects: DataFrame | None = None) -> DataFrame:
     """Scores per project. An empty slot caps the total below acceptable; every over-long still
-    costs .05. ``beats(project_id, t)`` only for edits planned on a grid."""
+    costs .05. ``beats(project_id, t)`` only for edits planned on a grid. With ``projects(project_id)``, a
+    project without clips scores 0 and has one issue."""
     m = _measured(clips, assets, beats, fps)
     n = F.col("clips").cast("double")
     overused, share = _overused()
@@ -71,13 +76,17 @@ def edit_quality(clips: DataFrame, assets: DataFrame | None = None, beats: DataF
         (F.col("clips") - F.col("filled")) + F.col("short") + F.col("stills") + F.col("repeats") + F.col("overused").cast("int")
         + ((F.col("distinct") == 1) & (F.col("clips") >= 3)).cast("int") + ((F.col("boundaries") > 0) & (F.col("rhythm") < 0.5)).cast("int"))
     final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), docked))
-    return scored.select("project_id", final.alias("total"), "rhythm", "diversity", "continuity", "coverage", issues.alias("issues"),
+    scores = scored.select("project_id", final.alias("total"), "rhythm", "diversity", "continuity", "coverage", issues.alias("issues"),
                          (F.col("repeats") + F.col("overused").cast("int") + ((F.col("distinct") == 1) & (F.col("clips") >= 3)).cast("int")).alias("repeat_issues"),
                          (final >= K.ACCEPTABLE_QUALITY).alias("acceptable"))
+    if projects is None:
+        return scores
+    nothing = [F.lit(0.0).alias(c) for c in ("total", "rhythm", "diversity", "continuity", "coverage")]
+    return scores.unionByName(_without_clips(projects, clips).select("project_id", *nothing, F.lit(1).alias("issues"), F.lit(0).alias("repeat_issues"), F.lit(False).alias("acceptable")))
 
 
-def quality_issues(clips: DataFrame, assets: DataFrame | None = None, beats: DataFrame | None = None, fps: int = 30) -> DataFrame:
-    """One row per issue: ``(project_id, kind, clip_idx, detail)``."""
+def quality_issues(clips: DataFrame, assets: DataFrame | None = None, beats: DataFrame | None = None, fps: int = 30, projects: DataFrame | None = None) -> DataFrame:
+    """One row per issue: ``(project_id, kind, clip_idx, detail)``; with ``projects``, also for those without clips."""
     one = F.col("pos") + 1
     clip_issue = lambda df, kind, detail: df.select("project_id", F.lit(kind).alias("kind"), F.col("pos").alias("clip_idx"), detail.alias("detail"))
     empty = clip_issue(clips.filter("asset_id IS NULL"), "emptySlot", F.format_string("scene %d has no asset", one))
@@ -94,5 +103,7 @@ def quality_issues(clips: DataFrame, assets: DataFrame | None = None, beats: Dat
     whole = lambda df, kind, detail: df.select("project_id", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("clip_idx"), detail.alias("detail"))
     out = out.unionByName(whole(m.filter(overused), "overusedAsset", F.format_string("one asset fills %d%% of scenes", F.floor(share * 100))))
     out = out.unionByName(whole(m.filter("distinct = 1 AND clips >= 3"), "lowDiversity", F.lit("every scene uses the same asset")))
+    if projects is not None:
+        out = out.unionByName(whole(_without_clips(projects, clips), "emptySlot", F.lit("timeline has no clips")))
     off = m.filter("boundaries > 0 AND aligned < boundaries * 0.5")
     return out.unionByName(whole(off, "offGridCut", F.format_string("only %d/%d cuts land on the beat grid", "aligned", "boundaries")))

@@ -5,20 +5,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlens.functions import constants as K
 from cutlens.functions import text as txt
-from cutlens.functions.geometry import rect
-from cutlens.operators.ordered import positions, running_sum, walk_in_order, with_neighbours
+from cutlens.functions.geometry import iou, rect
+from cutlens.operators.ordered import chain_roots, positions, running_sum, with_neighbours
 from cutlens.operators.shots import upper_median
 from cutlens.session import cut_lineage
 
 VIDEO = ["video_id"]
-# Hits handled by one call of the matcher; longer sessions go on in further rounds.
-SESSION_ROWS = 20_000
 
 
 def ocr_gate(hits: DataFrame) -> DataFrame:
@@ -37,58 +34,41 @@ def sessions(hits: DataFrame, gap: float = K.TEXT_GAP_SECONDS) -> DataFrame:
     ).drop("_gap")
 
 
-def _overlap(a, b) -> float:
-    ix = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
-    iy = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
-    both = a[2] * a[3] + b[2] * b[3] - ix * iy
-    return ix * iy / both if both > 0 else 0.0
-
-
-def _alike(a: str, b: str) -> float:
-    x, y = (set(s.lower().split(" ")) - {""} for s in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def _match(hits: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-    """Give every hit of a session a track: the best scoring open one, or a new one. The open
-    tracks are the state."""
-    tracks = state["open"] if state else []
-    labels = []
-    for hit in hits.itertuples(index=False):
-        box = [hit.x, hit.y, hit.w, hit.h]
-        tracks = [t for t in tracks if hit.t - t["seen"] <= hit.gap]
-        best, best_score = None, 0.0
-        for track in tracks:
-            shared = _overlap(track["box"], box)
-            if shared <= 0.35:
-                continue
-            alike = _alike(track["text"], hit.text)
-            growing = hit.text.startswith(track["text"]) or track["text"].startswith(hit.text)
-            score = shared * 0.5 + max(alike, 0.8 if growing else 0.0) * 0.5
-            if (alike > 0.55 or growing) and score > best_score:
-                best, best_score = track, score
-        if best is None:
-            best = {"id": int(hit.pos), "text": hit.text, "box": box, "seen": hit.t}
-            tracks.append(best)
-        else:
-            best.update(box=box, seen=hit.t, text=hit.text if len(hit.text) > len(best["text"]) else best["text"])
-        labels.append(best["id"])
-    return hits[["pos"]].assign(track=labels), {"open": tracks}
-
-
-def link_hits(hits: DataFrame, gap: float = K.TEXT_GAP_SECONDS, session_rows: int = SESSION_ROWS) -> DataFrame:
-    """Greedy matching in time order; adds ``track`` (the position of its first hit).
-
-    Each choice depends on the earlier ones of its session, so sessions are walked in order and in
-    parallel. What a long session hands on are its open tracks: those seen within ``gap``.
+def best_predecessors(hits: DataFrame, gap: float = K.TEXT_GAP_SECONDS, grid: int = 8) -> DataFrame:
+    """``(video_id, pos, parent, score)``: for each hit the earlier one, at most ``gap`` seconds before it, that it goes on.
+
+    A hit goes on another if their boxes overlap by more than .35 and their words by more than .55, or one text grows
+    out of the other; the best score wins, then the later one. Boxes that overlap share the corner of their overlap, so
+    hits meet in cells of time and of a ``grid`` over the frame, and only in the cell that holds that corner.
+    """
+    at = lambda v: F.least(F.greatest(F.floor(v * grid), F.lit(0)), F.lit(grid - 1))
+    cells = lambda lo, size: F.explode(F.sequence(at(F.col(lo)), F.greatest(at(F.col(lo)), at(F.col(lo) + F.col(size)))))
+    boxed = hits.select("video_id", "pos", "t", "text", "frame", *[F.col(f"frame.{c}").alias(f"_{c}") for c in "xywh"])
+    spread = boxed.withColumn("_cx", cells("_x", "_w")).withColumn("_cy", cells("_y", "_h")).drop("_w", "_h")
+    slot = F.floor(F.col("t") / gap)
+    earlier = spread.withColumn("_ct", slot).select("video_id", "_ct", "_cx", "_cy", *[F.col(c).alias(f"a{c}") for c in ("pos", "t", "text", "frame", "_x", "_y")])
+    later = spread.withColumn("_ct", F.explode(F.array(slot, slot - 1)))
+    met = later.join(earlier, ["video_id", "_ct", "_cx", "_cy"]).filter((F.col("apos") < F.col("pos")) & (F.col("t") - F.col("at") <= gap))
+    once = met.filter((at(F.greatest("_x", "a_x")) == F.col("_cx")) & (at(F.greatest("_y", "a_y")) == F.col("_cy")))
+    shared, alike, growing = iou(F.col("aframe"), F.col("frame")), txt.token_jaccard(F.col("atext"), F.col("text")), txt.is_growing(F.col("atext"), F.col("text"))
+    scored = once.select("video_id", "pos", "apos", shared.alias("shared"), alike.alias("alike"), growing.alias("growing")).filter("shared > 0.35 AND (alike > 0.55 OR growing)")
+    score = txt.match_score(F.col("shared"), F.col("alike"), F.col("growing"))
+    return scored.groupBy("video_id", "pos").agg(F.max_by("apos", F.struct(score, "apos")).alias("parent"), F.max(score).alias("score"))
+
+
+def link_hits(hits: DataFrame, gap: float = K.TEXT_GAP_SECONDS) -> DataFrame:
+    """Hits with ``pos`` (their place in the video) and ``track``, the position of the first hit of their track: the root
+    of the chain of best predecessors, found by jumping over predecessors, so in a number of rounds that grows with the
+    logarithm of the longest track.
+
+    A hit is compared with single earlier hits, not with all that a track has shown so far. So a text that is cut short
+    for a moment goes on from the short form, and two hits may go on one.
     """
-    rows = cut_lineage(sessions(hits, gap))
-    keys = ["video_id", "session"]
-    boxed = rows.select(*keys, "pos", "t", "text", *[F.col(f"frame.{c}").alias(c) for c in "xywh"], F.lit(gap).alias("gap"))
-    ranked = boxed.join(boxed.groupBy(*keys).agg(F.min("pos").alias("_first")), keys).withColumn("nth", F.col("pos") - F.col("_first")).drop("_first")
-    schema = f"video_id {dict(rows.dtypes)['video_id']}, session bigint, pos bigint, track bigint"
-    linked = walk_in_order(ranked, keys, "nth", _match, schema, session_rows).select("video_id", "pos", "track")
-    return rows.join(linked, ["video_id", "pos"])
+    ordered = cut_lineage(positions(hits, VIDEO, ["t", "hit_id"], F.floor(F.col("t") / 60.0)))
+    parents = best_predecessors(ordered, gap)
+    links = ordered.select("video_id", F.col("pos").alias("node")).join(parents.select("video_id", F.col("pos").alias("node"), "parent"), ["video_id", "node"], "left")
+    roots = chain_roots(links, VIDEO).select("video_id", F.col("node").alias("pos"), F.col("root").alias("track"))
+    return ordered.join(roots, ["video_id", "pos"])
 
 
 def text_tracks(hits: DataFrame, durations: DataFrame, colors: DataFrame | None = None) -> DataFrame:

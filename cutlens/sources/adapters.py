@@ -84,18 +84,8 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey")
 
 
-def ocr_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of a conversation as text hits every .4 s. Four turns in a row show a growing part of
-    the first one's text in one place, with a short-lived second place in between."""
-    c = table(spark, folder, "conversations")
-    turn = F.col("turn")
-    heads = c.filter("turn % 4 = 0").select("conv_id", turn.alias("_head"), F.regexp_replace("text", r"[\n\t]", " ").alias("_text"))
-    rows = c.select("conv_id", "turn", (turn - turn % 4).alias("_head")).join(heads, ["conv_id", "_head"])
-    return _placed(rows, F.array_join(F.slice(F.split("_text", " "), 1, (2 + turn % 4).cast("int")), " "))
-
-
 def turn_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of a conversation as text hits every .4 s, in the places of ``ocr_hits``. Each shows its
+    """Turns of a conversation as text hits every .4 s, in two places that take turns. Each shows its
     whole text after those of the turns before it in its row of four, so what is on screen grows."""
     plain = F.regexp_replace("text", r"[\n\t]", " ")
     turn = F.col("turn")
@@ -281,7 +271,8 @@ def edit_log(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         F.col("user_id").alias("project_id"), F.col("frame_idx").alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("entity_id"),
         F.col("value").cast("string").alias("new_value"), F.format_string("%d", k).alias("old_value"), (k % 5).alias("index"), (F.expr("0L") + F.floor(k / 5) % 5).alias("to_index"), "ts",
-        F.when(k % 4 != 0, F.expr("frame_idx div 8")).alias("gesture"))
+        F.when(k % 4 != 0, F.expr("frame_idx div 8")).alias("gesture"),
+        F.when(k % 7 == 0, "trim:c9").otherwise(F.concat(F.when(kind == "setClipVolume", "clipvol:c").otherwise("trim:c"), (k % 3).cast("string"))).alias("gesture_key"))
 
 
 def edit_clips(spark: SparkSession, folder: str) -> DataFrame:

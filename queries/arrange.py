@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cutlens.operators import assign
+from cutlens.operators.auction import cheapest_options
 from cutlens.operators.ordered import positions
 from cutlens.sources import adapters as A
 from queries.common import r6, registry, s6
@@ -100,13 +101,33 @@ def _assigned(spark, sf, seeds=(0,)):
     return assign.assign_assets(slots, assets, features, locks, seeds)
 
 
-@register("assign_assets")
+# every way to fill the open slots of a project from each slot's cheapest options, one slot after the other
+CHEAPEST = """near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, slot_id ORDER BY cost, opt) AS rn FROM options) WHERE rn <= n),
+fill AS (SELECT project_id, n, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS opts, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT project_id, n FROM near)
+  UNION ALL SELECT f.project_id, f.n, f.k + 1, list_append(f.opts, o.opt), f.total + o.cost FROM fill f JOIN near o ON o.project_id = f.project_id AND o.k = f.k AND NOT list_contains(f.opts, o.opt)),
+least AS (SELECT project_id, n, arg_min(opts, total) AS opts, min(total) AS total FROM fill WHERE k = n GROUP BY 1, 2)"""
+
+
+@register("assign_assets", f"""WITH RECURSIVE {COSTS},
+ranks AS (SELECT project_id, asset_id, CASE WHEN count(*) OVER p > 1 THEN (row_number() OVER (PARTITION BY project_id ORDER BY dated NULLS LAST, asset_id) - 1) / (count(*) OVER p - 1) ELSE 0.5 END AS chrono FROM visuals WINDOW p AS (PARTITION BY project_id)),
+pins AS (SELECT s.project_id, s.slot_id, m.asset_id FROM slots s JOIN (SELECT project_id, min(asset_id) AS asset_id FROM pool GROUP BY 1) m USING (project_id) WHERE s.scene_idx = 1),
+opens AS (SELECT s.project_id, s.slot_id, row_number() OVER (PARTITION BY s.project_id ORDER BY scene_idx) - 1 AS k, count(*) OVER (PARTITION BY s.project_id) AS n, s.scene_idx / greatest(1, n_slots - 1) AS place FROM slots s WHERE scene_idx <> 1),
+options AS (SELECT o.project_id, o.slot_id, o.k, o.n, p.asset_id || '/' || r.reuse AS opt, p.cost + abs(c.chrono - o.place) * 0.3 + (r.reuse + CASE WHEN p.asset_id = x.asset_id THEN 1 ELSE 0 END) * 2.5 AS cost
+  FROM opens o JOIN pairs p ON p.project_id = o.project_id AND p.slot_id = o.slot_id JOIN ranks c ON c.project_id = p.project_id AND c.asset_id = p.asset_id JOIN pins x ON x.project_id = o.project_id, (SELECT unnest([0, 1]) AS reuse) r),
+{CHEAPEST},
+won AS (SELECT o.* FROM least l JOIN options o ON o.project_id = l.project_id AND o.opt = l.opts[o.k + 1])
+SELECT project_id, slot_id, asset_id, {s6('cost', 'total')}, coalesce(nullif(concat_ws(' · ', CASE WHEN have IS NOT NULL THEN ['close-up', 'medium', 'wide'][have + 1] || CASE WHEN have = want THEN ' matches slot' ELSE '' END END,
+  CASE WHEN aes > 0.35 THEN 'high quality' END, CASE WHEN sharp < 0.35 THEN 'a little soft' END, CASE WHEN faces = 1 THEN 'face' WHEN faces > 1 THEN faces || ' faces' END, CASE WHEN role = 'hero' THEN 'best available for hero' END,
+  CASE WHEN kind = 'video' THEN 'video' END, CASE WHEN util THEN 'looks like a screenshot — swap it if you have a real photo' END, CASE WHEN again THEN 'reused — add more photos to avoid' END), ''), 'best remaining fit') AS reason, false AS locked, true AS proven FROM
+  (SELECT project_id, slot_id, asset_id, have, want, aes, sharp, faces, role, kind, util, again, cost FROM (SELECT w.project_id, w.slot_id, w.cost, p.asset_id, p.have, p.want, p.aes, p.sharp, p.faces, p.role, p.kind, p.util, CAST(split_part(w.opt, '/', 2) AS INT) + CASE WHEN p.asset_id = x.asset_id THEN 1 ELSE 0 END > 0 AS again
+   FROM won w JOIN pairs p ON p.project_id = w.project_id AND p.slot_id = w.slot_id AND p.asset_id = CAST(split_part(w.opt, '/', 1) AS BIGINT) JOIN pins x ON x.project_id = w.project_id))
+UNION ALL SELECT project_id, slot_id, asset_id, 0, 'pinned by you', true, true FROM pins""")
 def assign_assets(spark, sf):
-    return _assigned(spark, sf).select("project_id", "slot_id", "asset_id", r6("total").alias("total"), "reason", "locked")
+    """No two prints of the table are near, and no asset is worth its price twice: the exchanges leave this assignment."""
+    return _assigned(spark, sf).select("project_id", "slot_id", "asset_id", r6("total").alias("total"), "reason", "locked", (F.col("gap") <= 1e-4).alias("proven"))
 
 
-@register("assign_with_reuse")
-def _(spark, sf):
+def _reused(spark, sf):
     """Customers of a nation are slots, its few suppliers the assets, so assets repeat."""
     c = A.table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -120,7 +141,27 @@ def _(spark, sf):
         "project_id", "asset_id", F.lit("image").alias("kind"), (0.5 + F.col("asset_id") * 0.2).alias("aspect"), F.lit(0.0).alias("asset_seconds"), F.lit(None).cast("timestamp").alias("created_at"), F.col("asset_id").alias("arrival"))
     features = assets.select("project_id", "asset_id", pick(["closeUp", "medium", "wide"], F.col("asset_id") + F.col("project_id")).alias("framing"), F.lit(0.2).alias("aesthetic"), F.lit(False).alias("is_utility"), (F.col("asset_id") / 4.0).alias("sharpness"),
                              F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("region"), (0.5 + F.col("asset_id") * 0.2).alias("aspect"), F.lit(0).alias("faces"), F.lit(None).cast("array<float>").alias("print"))
-    return assign.assign_assets(slots, assets, features).select("project_id", "slot_id", "asset_id", r6("total").alias("total"), "reason")
+    return slots, assets, features
+
+
+@register("assign_with_reuse", f"""WITH RECURSIVE sl AS (SELECT CAST(c_custkey // 12 * 100 + c_nationkey % 4 AS BIGINT) AS project_id, c_custkey AS ck FROM customer),
+opens AS (SELECT *, 's' || ck AS slot_id, row_number() OVER p - 1 AS k, count(*) OVER (PARTITION BY project_id) AS n FROM sl WINDOW p AS (PARTITION BY project_id ORDER BY ck)),
+options AS (SELECT project_id, slot_id, k, n, a || '/' || r AS opt, abs(ck % 3 - (a + project_id) % 3) * 0.8 + 0.4 * 0.8 * [1.5, 1, 2.2][ck % 3 + 1] + (1 - a / 4) * 0.45 * CASE WHEN ck % 3 = 2 THEN 1.8 ELSE 1 END
+    + CASE WHEN 0.5 + a * 0.2 > 0.5625 THEN 1 - 0.5625 / (0.5 + a * 0.2) ELSE 1 - (0.5 + a * 0.2) / 0.5625 END * 0.5 + abs((a - 1) / 2 - k / greatest(1, n - 1)) * 0.3 + r * 2.5 AS cost
+  FROM opens, (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(range(20)) AS r) WHERE r < (n + 2) // 3),
+{CHEAPEST}
+SELECT project_id, n AS slots, {s6('total', 'total')}, true AS proven FROM least""")
+def _(spark, sf):
+    """The cheapest total of each project, which several assignments may reach."""
+    found = cheapest_options(assign.option_costs(*_reused(spark, sf)))
+    return found.groupBy("project_id").agg(F.count(F.lit(1)).alias("slots"), r6(F.sum("cost")).alias("total"), (F.max("gap") <= 1e-4).alias("proven"))
+
+
+@register("arranged_variety")
+def _(spark, sf):
+    """The same projects after the exchanges for variety, for two seeds: tested by its invariants."""
+    found = assign.assign_assets(*_reused(spark, sf), seeds=(0, 1))
+    return found.select("project_id", "seed", "slot_id", "scene_idx", "asset_id", r6("total").alias("total"), "reason")
 
 
 @register("best_of_seeds", f"""WITH RECURSIVE r AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seed, value / 500 AS total, event_id % 3 AS repeats FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cutlens.functions import color, geometry as g, labels, text as txt
 from cutlens.functions import constants as K
 from cutlens.sources import adapters as A
+from queries.visual import HITS
 from queries.common import r6, rect6, registry, s6
 
 JOBS, SQL, register = registry()
@@ -167,15 +168,14 @@ def _(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", labels.pacing_label(m).alias("pacing"), F.array_join(tags, ",").alias("tags"))
 
 
-@register("token_jaccard", f"""WITH p AS (SELECT a.conv_id, a.turn, lower(a.text) AS x, lower(b.text) AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+@register("token_jaccard", f"""WITH {HITS}, p AS (SELECT a.video_id AS conv_id, a.hit_id AS turn, lower(a.text) AS x, lower(b.text) AS y FROM hits a JOIN hits b ON b.video_id = a.video_id AND b.hit_id = a.hit_id + 1),
 t AS (SELECT *, list_distinct(list_filter(string_split(x, ' '), lambda w: w <> '')) AS u, list_distinct(list_filter(string_split(y, ' '), lambda w: w <> '')) AS v FROM p)
-SELECT conv_id, turn, {s6('CASE WHEN len(u) = 0 AND len(v) = 0 THEN 1 ELSE len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) END', 'jaccard')}, starts_with(x, substr(y, 1, 3)) AS growing FROM t""")
+SELECT conv_id, turn, {s6('CASE WHEN len(u) = 0 AND len(v) = 0 THEN 1 ELSE len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) END', 'jaccard')}, starts_with(x, y) OR starts_with(y, x) AS growing FROM t""")
 def _(spark, sf):
-    c = A.table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
-    rows = c.join(nxt, ["conv_id", "turn"])
-    head = F.substring(F.lower("other"), 1, 3)
-    return rows.select("conv_id", "turn", r6(txt.token_jaccard(F.col("text"), F.col("other"))).alias("jaccard"), (txt.is_growing(F.lower("text"), head) & F.lower("text").startswith(head)).alias("growing"))
+    """What is on screen at a turn against what is there at the next."""
+    c = A.turn_hits(spark, sf).select(F.col("video_id").alias("conv_id"), F.col("hit_id").alias("turn"), "text")
+    rows = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other")), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", r6(txt.token_jaccard(F.col("text"), F.col("other"))).alias("jaccard"), txt.is_growing(F.lower("text"), F.lower("other")).alias("growing"))
 
 
 @register("export_sizing", f"""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1080 WHEN 1 THEN 1920 WHEN 2 THEN 1080 ELSE 1080 END AS w, CASE o_orderkey % 4 WHEN 0 THEN 1920 WHEN 1 THEN 1080 WHEN 2 THEN 1350 ELSE 1080 END AS h,
@@ -232,11 +232,13 @@ def _(spark, sf):
     return rows.select(*KEYS, r6("crop_end.x").alias("x"), r6("crop_end.h").alias("h"))
 
 
-@register("fit_text_size", f"SELECT doc_id, {s6('CASE WHEN doc_id % 40 > 0 THEN 0.05 * least(1.15, greatest(0.6, (doc_id % 40) / greatest(length(substr(text, 1, CAST(1 + doc_id % 60 AS INT))), 1))) ELSE 0.05 END', 'size')} FROM documents")
+@register("fit_text_size", f"""WITH h AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 40 > 0 THEN length(text) * (40 + doc_id % 100) // 100 ELSE 0 END AS hint FROM documents)
+SELECT doc_id, {s6('CASE WHEN hint > 0 THEN 0.05 * least(1.15, greatest(0.6, hint / greatest(n, 1))) ELSE 0.05 END', 'size')} FROM h""")
 def _(spark, sf):
+    """Hints of .4 to 1.39 times a text's length: within both limits and beyond them."""
     d = F.col("doc_id")
-    short = F.col("text").substr(F.lit(1), (1 + d % 60).cast("int"))
-    return A.table(spark, sf, "documents").select("doc_id", r6(txt.fit_text_size(F.lit(0.05), (d % 40).cast("int"), short)).alias("size"))
+    hint = F.when(d % 40 > 0, F.expr("length(text) * (40 + doc_id % 100) div 100")).otherwise(0)
+    return A.table(spark, sf, "documents").select("doc_id", r6(txt.fit_text_size(F.lit(0.05), hint.cast("int"), F.col("text"))).alias("size"))
 
 
 @register("stable_ids", "SELECT p_partkey, substr(sha256(p_brand || '/clip/' || printf('scene_%02d', p_size)), 1, 32) AS id, printf('scene_%02d', p_size) AS label FROM part")

@@ -224,7 +224,7 @@ def _(spark, sf):
 
 MIX = """ac AS (SELECT o_custkey AS project_id, o_orderkey AS clip_id, ['music', 'voice', 'effect'][o_orderkey % 3 + 1] AS role, (CAST(floor(o_totalprice) AS BIGINT) % 200) / 10e0 AS st, (CAST(floor(o_totalprice) AS BIGINT) % 200) / 10e0 + (0.5e0 + (o_orderkey % 40) / 10e0) AS en,
   0.2e0 + (o_orderkey % 9) / 10e0 AS vol, (o_orderkey % 4) / 10e0 AS fi, (o_orderkey % 6) / 10e0 AS fo, o_orderkey % 17 = 0 AS muted FROM orders),
-vo AS (SELECT project_id, st AS s, en AS e FROM ac WHERE role = 'voice' AND NOT muted)"""
+vo AS (SELECT project_id, st AS s, en AS e FROM ac WHERE role = 'voice' AND NOT muted AND project_id % 5 <> 0)"""
 DUCK = "CASE WHEN t >= s AND t <= e THEN 0.22 WHEN t < s AND t > s - 0.30 THEN 0.22 + (1 - 0.22) * ((s - t) / 0.30) WHEN t > e AND t < e + 0.30 THEN 0.22 + (1 - 0.22) * ((t - e) / 0.30) ELSE 1 END"
 
 
@@ -232,7 +232,12 @@ DUCK = "CASE WHEN t >= s AND t <= e THEN 0.22 WHEN t < s AND t > s - 0.30 THEN 0
 def _(spark, sf):
     a = A.audio_clips(spark, sf)
     points = a.filter("role = 'music'").select("project_id", "clip_id", F.col("start").alias("t"))
-    return mix.duck_points(points, mix.voice_intervals(a)).select("project_id", "clip_id", r6("duck").alias("duck"))
+    return mix.duck_points(points, mix.voice_intervals(a, _switches(a))).select("project_id", "clip_id", r6("duck").alias("duck"))
+
+
+def _switches(audio):
+    """Every fifth project does not duck."""
+    return audio.select("project_id").distinct().withColumn("duck_music_under_voice", F.col("project_id") % 5 != 0)
 
 
 PLAN = MIX + f""",
@@ -248,7 +253,7 @@ def mix_plan(spark, sf):
     a = A.audio_clips(spark, sf)
     pool = a.select("project_id", "asset_id").distinct().withColumn("kind", F.lit("audio"))
     silent = A.clips(spark, sf).limit(0).select("project_id", "clip_id", "asset_id", "start", "duration", "volume")
-    return mix.mix_plan(a, silent, pool).select("project_id", "track_id", "role", r6("t").alias("t"), r6("gain").alias("gain"))
+    return mix.mix_plan(a, silent, pool, _switches(a)).select("project_id", "track_id", "role", r6("t").alias("t"), r6("gain").alias("gain"))
 
 
 @register("mix_plan_clip_audio", f"""WITH {CLIPS}, c AS (SELECT project_id, pos, start AS st, start + duration AS en, volume AS vol, least(0.012, duration / 2) AS f FROM clips WHERE volume > 0.0005 AND asset_id IS NOT NULL AND (asset_id + project_id) % 2 = 0),
@@ -260,15 +265,16 @@ def _(spark, sf):
     return mix.mix_plan(nothing, clips, A.clip_assets(spark, sf)).select("project_id", "track_id", r6("t").alias("t"), r6("gain").alias("gain"))
 
 
-@register("envelope_gain", f"""WITH {PLAN}, q AS (SELECT project_id, clip_id, st + (clip_id % 30) / 10e0 - 0.2e0 AS x FROM ac WHERE NOT muted),
-b AS (SELECT q.*, max(p.t) FILTER (p.t <= x) AS pt, min(p.t) FILTER (p.t >= x) AS nt FROM q JOIN plan p USING (project_id, clip_id) GROUP BY ALL)
-SELECT b.project_id, b.clip_id, {s6('CASE WHEN pt IS NULL OR nt IS NULL THEN 0 WHEN nt - pt > 1e-9 THEN a.gain + (z.gain - a.gain) * ((x - pt) / (nt - pt)) ELSE z.gain END', 'gain')} FROM b
-LEFT JOIN plan a ON a.project_id = b.project_id AND a.clip_id = b.clip_id AND a.t = pt LEFT JOIN plan z ON z.project_id = b.project_id AND z.clip_id = b.clip_id AND z.t = nt""")
+@register("envelope_gain", f"""WITH {PLAN}, mp AS MATERIALIZED (SELECT project_id, clip_id, t, gain FROM plan), q AS (SELECT project_id, clip_id, st + (clip_id % 30) / 10e0 - 0.2e0 AS x FROM ac WHERE NOT muted),
+bk AS (SELECT q.project_id, q.clip_id, x, p.t AS pt, p.gain AS pg FROM q ASOF LEFT JOIN mp p ON p.project_id = q.project_id AND p.clip_id = q.clip_id AND q.x >= p.t),
+fw AS (SELECT bk.*, p.t AS nt, p.gain AS ng FROM bk ASOF LEFT JOIN mp p ON p.project_id = bk.project_id AND p.clip_id = bk.clip_id AND bk.x <= p.t)
+SELECT project_id, clip_id, {s6('CASE WHEN pt IS NULL OR nt IS NULL THEN 0 WHEN nt - pt > 1e-9 THEN pg + (ng - pg) * ((x - pt) / (nt - pt)) ELSE ng END', 'gain')} FROM fw
+WHERE EXISTS (SELECT 1 FROM mp WHERE mp.project_id = fw.project_id AND mp.clip_id = fw.clip_id)""")
 def _(spark, sf):
     a = A.audio_clips(spark, sf)
     pool = a.select("project_id", "asset_id").distinct().withColumn("kind", F.lit("audio"))
     silent = A.clips(spark, sf).limit(0).select("project_id", "clip_id", "asset_id", "start", "duration", "volume")
-    plan = cut_lineage(mix.mix_plan(a, silent, pool).select("project_id", "track_id", "t", "gain"))
+    plan = cut_lineage(mix.mix_plan(a, silent, pool, _switches(a)).select("project_id", "track_id", "t", "gain"))
     asked = a.filter("NOT muted").select("project_id", F.col("clip_id").cast("string").alias("track_id"), "clip_id", (F.col("start") + (F.col("clip_id") % 30) / 10.0 - 0.2).alias("t"))
     return mix.envelope_gain(plan, asked).select("project_id", "clip_id", r6("gain").alias("gain"))
 
@@ -286,18 +292,25 @@ q2 AS (SELECT *, CASE WHEN filled > 0 THEN dist / filled * CASE WHEN over THEN g
 q3 AS (SELECT *, CASE WHEN filled < n THEN least(coverage * 0.35 + continuity * 0.25 + diversity * 0.20 + 0.20, 0.45) ELSE coverage * 0.35 + continuity * 0.25 + diversity * 0.20 + 0.20 END AS t0 FROM q2)"""
 
 
+def _projects(spark, sf):
+    """Every order has a timeline; those without line items are empty."""
+    return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("project_id"))
+
+
 @register("edit_quality", f"""WITH {QUALITY} SELECT project_id, {s6('least(1, greatest(0, CASE WHEN stills > 0 THEN greatest(0, t0 - 0.05 * stills) ELSE t0 END))', 'total')}, {s6('diversity', 'diversity')}, {s6('continuity', 'continuity')}, {s6('coverage', 'coverage')},
-  (n - filled) + short + stills + reps + CAST(over AS INT) + CAST(dist = 1 AND n >= 3 AS INT) AS issues FROM q3""")
+  (n - filled) + short + stills + reps + CAST(over AS INT) + CAST(dist = 1 AND n >= 3 AS INT) AS issues FROM q3
+UNION ALL SELECT o_orderkey, 0, 0, 0, 0, 1 FROM orders WHERE o_orderkey NOT IN (SELECT project_id FROM clips)""")
 def edit_quality(spark, sf):
-    q = quality.edit_quality(_clips(spark, sf), A.clip_assets(spark, sf))
+    q = quality.edit_quality(_clips(spark, sf), A.clip_assets(spark, sf), projects=_projects(spark, sf))
     return q.select("project_id", *[r6(c).alias(c) for c in ("total", "diversity", "continuity", "coverage")], "issues")
 
 
 @register("quality_issues", f"""WITH {QUALITY}, i AS (SELECT project_id, 'emptySlot' AS kind, pos FROM clips WHERE asset_id IS NULL UNION ALL SELECT project_id, 'tooShortClip', pos FROM clips WHERE duration < 3 / 30e0 UNION ALL SELECT project_id, 'adjacentRepeat', pos FROM rep WHERE rp
-  UNION ALL SELECT project_id, 'longStillScene', pos FROM clips WHERE duration > 7 AND (asset_id + project_id) % 2 = 1 UNION ALL SELECT project_id, 'overusedAsset', NULL FROM q3 WHERE over UNION ALL SELECT project_id, 'lowDiversity', NULL FROM q3 WHERE dist = 1 AND n >= 3)
+  UNION ALL SELECT project_id, 'longStillScene', pos FROM clips WHERE duration > 7 AND (asset_id + project_id) % 2 = 1 UNION ALL SELECT project_id, 'overusedAsset', NULL FROM q3 WHERE over UNION ALL SELECT project_id, 'lowDiversity', NULL FROM q3 WHERE dist = 1 AND n >= 3
+  UNION ALL SELECT o_orderkey, 'emptySlot', NULL FROM orders WHERE o_orderkey NOT IN (SELECT project_id FROM clips))
 SELECT project_id, kind, pos AS clip_idx FROM i""")
 def _(spark, sf):
-    return quality.quality_issues(_clips(spark, sf), A.clip_assets(spark, sf)).select("project_id", "kind", "clip_idx")
+    return quality.quality_issues(_clips(spark, sf), A.clip_assets(spark, sf), projects=_projects(spark, sf)).select("project_id", "kind", "clip_idx")
 
 
 @register("quality_rhythm", f"""WITH {CLIPS}, bt AS (SELECT o_orderkey AS project_id, unnest(range(20)) * (0.3e0 + (o_custkey % 5) / 10e0) AS t FROM orders), ct AS (SELECT project_id, pos, start + duration AS e FROM clips WHERE pos < n_clips - 1 AND start + duration > 0.01),
@@ -313,7 +326,8 @@ def _(spark, sf):
 LOG = """log AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CASE event_type WHEN 'click' THEN 'setClipVolume' WHEN 'view' THEN 'trimClip' WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'moveClip' END AS kind,
   'c' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS entity_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 ky AS (SELECT *, CASE kind WHEN 'setClipVolume' THEN 'clipvol:' || entity_id WHEN 'trimClip' THEN 'trim:' || entity_id END AS key FROM log),
-gp AS (SELECT *, sum(CASE WHEN coalesce(key = lag_key AND k % 4 <> 0, false) THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY seq) - 1 AS step FROM (SELECT *, lag(key) OVER (PARTITION BY project_id ORDER BY seq) AS lag_key FROM ky)),
+gp AS (SELECT *, sum(CASE WHEN coalesce(key = lag_key AND k % 4 <> 0 AND k % 7 <> 0 AND NOT closed, false) THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY seq) - 1 AS step
+  FROM (SELECT *, lag(key) OVER (PARTITION BY project_id ORDER BY seq) AS lag_key, coalesce(bool_or(kind = 'undo' AND k % 4 <> 0) OVER (PARTITION BY project_id, seq // 8 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM ky)),
 co AS (SELECT project_id, step, min(seq) AS first_seq, max(seq) AS seq, count(*) AS merged, any_value(kind) AS kind, any_value(entity_id) AS entity_id, arg_max(value, seq) AS new_value, arg_min(k, seq) AS old_value, arg_max(k, seq) AS lk FROM gp GROUP BY 1, 2)"""
 
 

@@ -274,23 +274,37 @@ def _(spark, sf):
 # --- text -------------------------------------------------------------------------------------
 
 HITS = r"""hits AS (SELECT conv_id AS video_id, turn AS hit_id, turn * CAST(0.4 AS DOUBLE) AS t,
-  array_to_string(string_split(regexp_replace(head, '[\n\t]', ' ', 'g'), ' ')[1:2 + turn % 4], ' ') AS text, 0.3 + (turn % 7) / 10.0 AS confidence
-  FROM (SELECT c.conv_id, c.turn, h.text AS head FROM conversations c JOIN conversations h ON h.conv_id = c.conv_id AND h.turn = c.turn - c.turn % 4)),
+  string_agg(regexp_replace(coalesce(text, ''), '[\n\t]', ' ', 'g'), ' ') OVER (PARTITION BY conv_id, turn - turn % 4 ORDER BY turn ROWS UNBOUNDED PRECEDING) AS text, 0.3 + (turn % 7) / 10.0 AS confidence
+  FROM conversations),
 gated AS (SELECT * FROM (SELECT video_id, hit_id, t, confidence, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM hits) WHERE confidence >= 0.35 AND text <> '')"""
 
 
 @register("ocr_gate", f"WITH {HITS} SELECT video_id, hit_id, text, {s6('confidence', 'confidence')} FROM gated")
 def _(spark, sf):
-    return text.ocr_gate(A.ocr_hits(spark, sf)).select("video_id", "hit_id", "text", r6("confidence").alias("confidence"))
+    return text.ocr_gate(A.turn_hits(spark, sf)).select("video_id", "hit_id", "text", r6("confidence").alias("confidence"))
 
 
 @register("text_sessions", f"""WITH {HITS}, g AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 0.6, true) THEN 1 ELSE 0 END AS fresh FROM gated WINDOW w AS (PARTITION BY video_id ORDER BY t, hit_id))
 SELECT video_id, hit_id, CAST(sum(fresh) OVER (PARTITION BY video_id ORDER BY t, hit_id) AS BIGINT) AS session FROM g""")
 def _(spark, sf):
-    return text.sessions(text.ocr_gate(A.ocr_hits(spark, sf))).select("video_id", "hit_id", F.col("session").cast("bigint").alias("session"))
-
-
-@register("text_tracks")
+    return text.sessions(text.ocr_gate(A.turn_hits(spark, sf))).select("video_id", "hit_id", F.col("session").cast("bigint").alias("session"))
+
+
+@register("text_tracks", f"""WITH RECURSIVE {HITS},
+g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, hit_id) - 1 AS pos, 0.1e0 + (hit_id // 3 % 2) * 0.1e0 AS x, 0.1e0 + (hit_id // 4 % 2) * 0.4e0 AS y, 0.4e0 + (hit_id % 4) * 0.08e0 AS w, 0.08e0 AS h FROM gated),
+pr AS (SELECT b.video_id, b.pos, a.pos AS par, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS areas,
+  list_distinct(list_filter(string_split(lower(a.text), ' '), lambda v: v <> '')) AS u, list_distinct(list_filter(string_split(lower(b.text), ' '), lambda v: v <> '')) AS v, starts_with(a.text, b.text) OR starts_with(b.text, a.text) AS grow
+  FROM g a JOIN g b ON b.video_id = a.video_id AND b.pos > a.pos AND b.t - a.t <= 0.6),
+sc AS (SELECT video_id, pos, par, i / (areas - i) AS io, CASE WHEN len(u) + len(v) = 0 THEN 1 ELSE len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) END AS jac, grow FROM pr),
+bp AS (SELECT video_id, pos, par FROM sc WHERE io > 0.35 AND (jac > 0.55 OR grow) QUALIFY row_number() OVER (PARTITION BY video_id, pos ORDER BY io * 0.5 + greatest(jac, CASE WHEN grow THEN 0.8 ELSE 0 END) * 0.5 DESC, par DESC) = 1),
+fl AS (SELECT g.video_id, g.pos, g.pos AS track FROM g LEFT JOIN bp ON bp.video_id = g.video_id AND bp.pos = g.pos WHERE bp.par IS NULL UNION ALL SELECT bp.video_id, bp.pos, fl.track FROM fl JOIN bp ON bp.video_id = fl.video_id AND bp.par = fl.pos),
+lk AS (SELECT g.*, track, row_number() OVER (PARTITION BY g.video_id, track ORDER BY g.pos) AS rn, lag(w) OVER (PARTITION BY g.video_id, track ORDER BY g.pos) AS pw FROM g JOIN fl ON fl.video_id = g.video_id AND fl.pos = g.pos),
+mid AS (SELECT video_id, track, list_sort(list(x))[count(*) // 2 + 1] AS x, list_sort(list(y))[count(*) // 2 + 1] AS y, list_sort(list(w))[count(*) // 2 + 1] AS w, list_sort(list(h))[count(*) // 2 + 1] AS h, arg_max(text, struct_pack(n := length(text), p := -pos)) AS text,
+  min(t) AS st, max(t) AS lt, avg(confidence) AS conf, count(*) AS n, count(*) FILTER (rn <= 6 AND w > pw * 1.08) AS growth FROM lk GROUP BY 1, 2 HAVING count(*) >= 2),
+fin AS (SELECT mid.*, secs, (lt - st) / greatest(secs, 0.001) AS coverage FROM mid JOIN (SELECT video_id, max(t) + 1 AS secs FROM hits GROUP BY 1) s ON s.video_id = mid.video_id)
+SELECT video_id, track, text, {s6('st', 'start_t')}, {s6('least(secs, lt + 0.1)', 'end_t')}, {s6('x', 'x')}, {s6('y', 'y')}, {s6('w', 'w')}, {s6('h', 'h')}, {s6('conf', 'mean_confidence')},
+  starts_with(lower(text), '@') OR regexp_matches(lower(text), '(^|\\s)@[a-z0-9._]{{2,}}') OR regexp_matches(lower(text), 'follow|subscribe|link in bio|swipe up|dm me|tap here|click link|shop now at|made with|created with')
+  OR (h < 0.035 AND (y + h / 2 < 0.14 OR y + h / 2 > 0.88) AND (x + w / 2 < 0.30 OR x + w / 2 > 0.70) AND coverage > 0.75) AS is_watermark, n AS observations, growth FROM fin""")
 def _(spark, sf):
     hits = A.turn_hits(spark, sf)
     seconds = hits.groupBy("video_id").agg((F.max("t") + 1).alias("video_seconds"))
