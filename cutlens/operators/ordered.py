@@ -218,19 +218,26 @@ def active_at(
     start: str,
     end: str,
     width: float = 1.0,
-    how: str = "inner",
 ) -> DataFrame:
-    """Every interval with ``start <= at < end``. Both sides meet on ``(entity, time cell)``, so
-    an instant is compared only with intervals that touch its cell."""
-    cells = F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))
-    spread = intervals.withColumn("_cell", F.explode(cells))
-    probed = points.withColumn("_cell", F.floor(F.col(at) / width))
-    match = [probed[k] == spread[k] for k in keys]
-    match += [probed["_cell"] == spread["_cell"], probed[at] >= spread[start], probed[at] < spread[end]]
-    joined = probed.join(spread, match, how)
-    for k in keys:
-        joined = joined.drop(spread[k])
-    return joined.drop(spread["_cell"]).drop("_cell")
+    """Every interval with ``start <= at < end``.
+
+    An interval is stored in cells of the size that fits its length, ``width`` times a power of two, so in two or
+    three of them however long it is. An instant looks into one cell of each size that occurs (one row of at most
+    some sixty numbers tells which), so it meets only intervals near it. Empty intervals hold no instant.
+    """
+    length = F.col(end) - F.col(start)
+    size = lambda level: width * F.pow(F.lit(2.0), level)
+    level = F.when(length > width, F.ceil(F.log2(length / width))).otherwise(F.lit(0)).cast("int")
+    sized = intervals.filter(length > 0).withColumn("_level", level)
+    used = F.broadcast(sized.agg(F.array_sort(F.collect_set("_level")).alias("_levels"), F.lit(0).alias("_all")))
+    cell = lambda t: F.floor(F.col(t) / size(F.col("_level")))
+    spread = sized.withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    probed = points.withColumn("_all", F.lit(0)).join(used, "_all").withColumn("_level", F.explode("_levels")).drop("_levels", "_all")
+    probed = probed.withColumn("_cell", cell(at))
+    held = spread.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, "_level", "_cell")})
+    match = [F.col(c) == F.col(f"_of_{c}") for c in (*keys, "_level", "_cell")]
+    joined = probed.join(held, match + [F.col(at) >= F.col(start), F.col(at) < F.col(end)])
+    return joined.drop("_cell", "_level", *[f"_of_{c}" for c in (*keys, "_level", "_cell")])
 
 
 def chain_members(links: DataFrame, heads: DataFrame, keys: Keys, max_rounds: int = 64) -> DataFrame:

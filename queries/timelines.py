@@ -357,7 +357,13 @@ def _(spark, sf):
     return v.select("project_id", "entity_id", "kind", r6(F.col("value").cast("double")).alias("value"), "edits")
 
 
-@register("replay_edits")
+@register("replay_edits", f"""WITH RECURSIVE {LIVE},
+mv AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY step) AS n, lk % 5 AS i, lk // 5 % 5 AS j FROM live WHERE kind = 'moveClip'),
+wl AS (SELECT DISTINCT user_id AS project_id, CAST(0 AS BIGINT) AS n, ['c0', 'c1', 'c2', 'c3', 'c4'] AS cs FROM events UNION ALL
+  SELECT project_id, n, list_concat(list_concat(rest[:j], [moved]), rest[j + 1:]) FROM (SELECT w.project_id, m.n, m.j, w.cs[m.i + 1] AS moved, list_concat(w.cs[:m.i], w.cs[m.i + 2:]) AS rest FROM wl w JOIN mv m ON m.project_id = w.project_id AND m.n = w.n + 1)),
+fo AS (SELECT project_id, unnest(arg_max(cs, n)) AS clip_id, generate_subscripts(arg_max(cs, n), 1) - 1 AS pos FROM wl GROUP BY 1),
+vl AS (SELECT project_id, entity_id, arg_max(new_value, step) AS v FROM live WHERE kind = 'setClipVolume' GROUP BY 1, 2)
+SELECT fo.project_id, CAST(pos AS INT) AS pos, clip_id, {s6('v', 'volume')} FROM fo LEFT JOIN vl ON vl.project_id = fo.project_id AND vl.entity_id = clip_id""")
 def _(spark, sf):
     r = edits.replay_edits(A.edit_log(spark, sf), A.edit_clips(spark, sf))
     return r.select("project_id", "pos", "clip_id", r6(F.try_element_at("fields", F.lit("setClipVolume")).cast("double")).alias("volume"))

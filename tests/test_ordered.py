@@ -97,3 +97,16 @@ def test_nearest_in_one_crowded_cell_is_linear(spark):
     for r in found[::501]:
         best = min(range(10_000), key=lambda i: (abs(i / 500 + 0.0004 - r.t), i)) if r.t < 1 else None
         assert best is None or r.near_id == best
+
+
+def test_long_intervals_are_stored_in_few_cells(spark):
+    rng = random.Random(12)
+    spans = [(k % 2, a, a + d) for k, (a, d) in enumerate([(0.0, 36_000.0), (5.0, 0.0), (-3.0, 1.0), (7.25, 0.5), (100.0, 4096.0), (0.1, 1.0000001)] + [(rng.uniform(-50, 500), rng.choice([0.01, 1, 3, 70, 900])) for _ in range(40)])]
+    points = [(k, rng.choice([rng.uniform(-60, 600), a, b])) for k, a, b in spans for _ in range(4)]
+    left = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(points)], "i int, k int, t double")
+    right = spark.createDataFrame([(j, *s) for j, s in enumerate(spans)], "j int, k int, s double, e double")
+    found = o.active_at(left, right, ["k"], "t", "s", "e")
+    assert found.columns == ["i", "k", "t", "j", "s", "e"]
+    assert sorted((r.i, r.j) for r in found.collect()) == sorted((i, j) for i, (k, t) in enumerate(points) for j, (q, a, b) in enumerate(spans) if k == q and a <= t < b)
+    stored = o.active_at(left.limit(0), right, ["k"], "t", "s", "e")
+    assert stored.count() == 0 and o.active_at(left, right.limit(0), ["k"], "t", "s", "e").count() == 0
