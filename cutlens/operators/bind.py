@@ -122,6 +122,12 @@ def bind_audio(content: DataFrame, assets: DataFrame) -> DataFrame:
         "volume", "fade_in", "fade_out", F.lit(False).alias("muted"))
 
 
+def bind_content(content: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Audio clips and overlays of every project, from what its user brought along (``content`` of ``bind_audio`` with
+    ``logo_id``)."""
+    return bind_audio(content, assets), logo_overlay(content)
+
+
 def logo_overlay(content: DataFrame) -> DataFrame:
     """The logo for the whole length, low in the frame. ``content(project_id, template_seconds, logo_id)``."""
     return content.filter("logo_id IS NOT NULL").select(

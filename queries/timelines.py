@@ -399,8 +399,18 @@ def _(spark, sf):
 x AS (SELECT project_id, total, 'music' AS role, m AS asset_id, 1 AS vol, least(0.8, total * 0.1) AS fo FROM c UNION ALL SELECT project_id, total, 'reference', r, CASE WHEN m IS NULL THEN 1 ELSE 0.5 END, least(0.6, total * 0.08) FROM c UNION ALL SELECT project_id, total, 'voice', v, 1, 0.05 FROM c)
 SELECT project_id, role, asset_id, {s6('CASE WHEN asset_id % 7 <> 0 AND (asset_id % 7) * 3e0 > 0 THEN least(total, (asset_id % 7) * 3e0) ELSE total END', 'seconds')}, {s6('vol', 'volume')}, {s6('fo', 'fade_out')} FROM x WHERE asset_id IS NOT NULL""")
 def _(spark, sf):
+    return _bound_content(spark, sf)[0].select("project_id", "role", "asset_id", r6("duration").alias("seconds"), r6("volume").alias("volume"), r6("fade_out").alias("fade_out"))
+
+
+def _bound_content(spark, sf):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    content = A.table(spark, sf, "orders").select(o.alias("project_id"), (F.col("o_totalprice") / 20000).alias("template_seconds"), F.when(o % 3 != 0, c).alias("music_id"), F.when(o % 4 == 1, c + 1).alias("reference_id"), F.when(o % 5 == 2, c + 2).alias("voice_id"))
+    content = A.table(spark, sf, "orders").select(
+        o.alias("project_id"), (F.col("o_totalprice") / 20000).alias("template_seconds"), F.when(o % 3 != 0, c).alias("music_id"), F.when(o % 4 == 1, c + 1).alias("reference_id"), F.when(o % 5 == 2, c + 2).alias("voice_id"), F.when(o % 6 == 1, c + 3).alias("logo_id"))
     ids = content.select("project_id", F.explode(F.array("music_id", "reference_id", "voice_id")).alias("asset_id")).filter("asset_id IS NOT NULL").distinct()
-    b = bind.bind_audio(content, ids.withColumn("asset_seconds", (F.col("asset_id") % 7) * 3.0))
-    return b.select("project_id", "role", "asset_id", r6("duration").alias("seconds"), r6("volume").alias("volume"), r6("fade_out").alias("fade_out"))
+    return bind.bind_content(content, ids.withColumn("asset_seconds", (F.col("asset_id") % 7) * 3.0))
+
+
+@register("bind_overlays", f"""SELECT o_orderkey AS project_id, 'overlay/logo' AS overlay_id, o_custkey + 3 AS asset_id, {s6('0', 'start_t')}, {s6('o_totalprice / 20000', 'end_t')}, {s6('0.36', 'x')}, {s6('0.855', 'y')}, {s6('0.28', 'w')}, {s6('0.075', 'h')}, {s6('0.92', 'opacity')}
+FROM orders WHERE o_orderkey % 6 = 1""")
+def _(spark, sf):
+    return _bound_content(spark, sf)[1].select("project_id", "overlay_id", "asset_id", r6("start").alias("start_t"), r6("end").alias("end_t"), *rect6("frame"), r6("opacity").alias("opacity"))
