@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cutlens.llm.similarity import _arrow_key
 
-#: Prints of a page, of a shard (one tree), and queries sent to a shard at a time.
-PAGE, SHARD, QUERIES = 256, 8192, 256
+#: Prints of a page, of a shard (one tree), queries of a block, and blocks that one task takes to a shard.
+PAGE, SHARD, QUERIES, BATCH = 256, 8192, 256, 64
 SCALE = 64
 
 
@@ -32,7 +31,8 @@ def top_prints(
     Appending ``sqrt(M^2 - |x|^2)``, with M the largest length, turns the inner product into a distance, the
     metric of the tree. Equal prints are one entry with its ``k + 1`` smallest ids, which decides every
     tie. Prints are dealt to shards, each shard builds its tree in one task, and blocks of queries are
-    sent to every shard: the query set against all rows, in blocks. A shard answers at most ``k`` rows a query.
+    sent to every shard: the query set against all rows, in blocks. A task holds one shard and at most ``BATCH`` blocks, and
+    answers at most ``k`` rows a query.
     """
     key = asset_features.schema[asset_id].dataType.simpleString()
     usable = (F.col("v").isNotNull()) & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -54,10 +54,12 @@ def top_prints(
     dealt = entries.join(F.broadcast(sized), "dim").select("dim", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int").alias("shard"), "longest", "v", "ids")
 
     asked = prints(queries).distinct()
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-queries.count() // QUERIES)))))
+    n_blocks = max(1, -(-queries.count() // QUERIES))
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)))
     sent = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    sent = sent.join(F.broadcast(sized), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "asked")
-    answers = dealt.groupBy("dim", "shard").cogroup(sent.groupBy("dim", "shard")).applyInArrow(
+    sent = sent.join(F.broadcast(sized), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.expr(f"block div {BATCH}").alias("batch"), "asked")
+    dealt = dealt.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_blocks - 1) // BATCH).cast("bigint"))))
+    answers = dealt.groupBy("dim", "shard", "batch").cogroup(sent.groupBy("dim", "shard", "batch")).applyInArrow(
         _search(k, _arrow_key(asset_features.select(F.col(asset_id).alias("layer_id")))), f"query_id {key}, asset_id {key}, score bigint"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "asset_id")
@@ -103,33 +105,44 @@ def build(points: np.ndarray, rows: np.ndarray, centre: np.ndarray, page: int =
     return Node(points[kept], to_parent[kept], np.array(radii), children, None)
 
 
-def search(root: Node, query: np.ndarray, offer, bound, root_distance: float) -> int:
-    """Best-first: pages by smallest possible distance, until none can reach ``bound()``. ``offer(rows, distances)``
-    takes the points of a leaf. Returns the number of distances computed."""
-    waiting, tick, computed = [(0.0, 0, root, root_distance)], 0, 0
-    slack = 1e-6 * (1 + root_distance)
+def search_block(root: Node, queries: np.ndarray, offer, limits, to_centre: np.ndarray) -> int:
+    """Best-first for many queries at once: pages by smallest possible distance, each only with the queries that it can
+    still serve. ``offer(who, rows, points)`` takes the points of a leaf for the queries ``who``; ``limits()`` tells how far
+    each query still looks. Returns the number of distances that were needed."""
+    slack = 1e-6 * (1 + to_centre)
+    waiting, tick, computed = [(0.0, 0, root, np.arange(len(queries)), to_centre, np.zeros(len(queries)))], 0, 0
     while waiting:
-        least, _, node, to_centre = heapq.heappop(waiting)
-        if least > bound() + slack:
-            break
+        _, _, node, who, distance, low = heapq.heappop(waiting)
+        limit = limits()[who] + slack[who]
+        near = low <= limit
+        if not near.any():
+            continue
+        who, distance, limit = who[near], distance[near], limit[near]
         # stored distances to the routing object bound each entry before its own distance is computed
-        floor = np.abs(to_centre - node.to_parent) - (node.radii if node.children else 0)
-        open_ = np.flatnonzero(floor <= bound() + slack)
+        floor = np.abs(distance[:, None] - node.to_parent) - (node.radii if node.children else 0)
+        open_ = np.flatnonzero((floor <= limit[:, None]).any(axis=0))
         if not len(open_):
             continue
-        distance = np.sqrt(((node.points[open_] - query) ** 2).sum(1))
-        computed += len(open_)
+        computed += len(who) * len(open_)
         if node.children is None:
-            offer(node.rows[open_], distance)
+            offer(who, node.rows[open_], node.points[open_])
             continue
-        for j, d in zip(open_.tolist(), distance.tolist()):
-            low = max(0.0, d - float(node.radii[j]))
-            if low <= bound() + slack:
+        apart = np.sqrt(((queries[who][:, None] - node.points[open_]) ** 2).sum(2))
+        lows = np.maximum(0.0, apart - node.radii[open_])
+        for n, j in enumerate(open_.tolist()):
+            mine = lows[:, n] <= limit
+            if mine.any():
                 tick += 1
-                heapq.heappush(waiting, (low, tick, node.children[j], d))
+                heapq.heappush(waiting, (float(lows[mine, n].min()), tick, node.children[j], who[mine], apart[mine, n], lows[mine, n]))
     return computed
 
 
+def search(root: Node, query: np.ndarray, offer, bound, root_distance: float) -> int:
+    """``search_block`` for one query: ``offer(rows, distances)``, ``bound()``."""
+    one = lambda who, rows, points: offer(rows, np.sqrt(((points - query) ** 2).sum(1)))
+    return search_block(root, query[None], one, lambda: np.array([bound()]), np.array([root_distance]))
+
+
 def _search(k: int, key: pa.DataType):
     def answer(entries: pa.Table, blocks: pa.Table) -> pa.Table:
         out_q, out_a, out_s = [], [], []
@@ -142,46 +155,38 @@ def _search(k: int, key: pa.DataType):
             centre = points.mean(0)
             root = build(points, np.arange(len(v)), centre)
             for asked in blocks.column("asked").to_pylist():
-                for one in asked:
-                    q = np.array(one["v"], np.float64)
-                    for score, a in _best(root, v, ids, longest, centre, q, one["id"], k):
-                        out_q.append(one["id"]), out_a.append(a), out_s.append(score)
+                q = np.array([one["v"] for one in asked], np.float64).reshape(len(asked), -1)
+                for one, found in zip(asked, _best(root, v, longest, centre, q, k)):
+                    pairs = [(-s, a) for s, r in found for a in ids[r] if a != one["id"]]
+                    for s, a in heapq.nsmallest(k, pairs):
+                        out_q.append(one["id"]), out_a.append(a), out_s.append(-s)
         return pa.table({"query_id": pa.array(out_q, key), "asset_id": pa.array(out_a, key), "score": pa.array(out_s, pa.int64())})
 
     return answer
 
 
-def _best(root: Node, v: np.ndarray, ids: list, longest: float, centre: np.ndarray, q: np.ndarray, own, k: int) -> list[tuple[int, object]]:
-    lifted, norm = np.r_[q, 0.0], float(q @ q)
-    found: list[tuple[int, int, int]] = []  # of the k best (score, entry) so far, the worst first
-    state = {"bound": math.inf}
-
-    def offer(rows: np.ndarray, _: np.ndarray) -> None:
-        scores = v[rows] @ q
-        if state["bound"] < math.inf:  # k are held: a lower score than the worst of them changes nothing
-            near = scores >= found[0][0]
-        elif len(scores) > k + 1:  # the query's own entry may be one of k + 1
-            near = scores >= np.partition(scores, -k - 1)[-k - 1]
-        else:
-            near = np.ones(len(scores), bool)
-        rows, scores = rows[near], scores[near]
-        if not len(rows):
-            return
-        for r, s in zip(rows.tolist(), scores.tolist()):
-            held = len(ids[r]) - (own in ids[r])
-            if held:
-                heapq.heappush(found, (int(s), r, held))
-        total = sum(x[2] for x in found)
-        while found and total - found[0][2] >= k:  # entries with a score equal to the k-th stay, for ties by id
-            worst = found[0]
-            above = sum(x[2] for x in found if x[0] > worst[0])
-            if above < k:
-                break
-            total -= heapq.heappop(found)[2]
-        if total >= k:
-            # squared distance of the k-th score in the lifted space
-            state["bound"] = math.sqrt(max(0.0, norm + longest - 2.0 * found[0][0]))
-
-    search(root, lifted, offer, lambda: state["bound"], float(np.sqrt(((lifted - centre) ** 2).sum())))
-    pairs = [(-s, a) for s, r, _ in found for a in ids[r] if a != own]
-    return [(-s, a) for s, a in heapq.nsmallest(k, pairs)]
+def _best(root: Node, v: np.ndarray, longest: float, centre: np.ndarray, q: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """Score and row of every entry that can be among the ``k`` best of a query: a page meets a block of queries as one
+    matrix product. One more than ``k`` entries are held, as one may be the query's own; equal scores stay, for ties
+    by id."""
+    lifted, norm = np.c_[q, np.zeros(len(q))], (q * q).sum(1)
+    top = np.full((len(q), k + 1), -np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def limits() -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, norm + longest - 2.0 * top.min(1)))  # distance of the worst score held
+
+    def offer(who: np.ndarray, rows: np.ndarray, _: np.ndarray) -> None:
+        scores = q[who] @ v[rows].T
+        top[who] = np.partition(np.concatenate([top[who], scores], axis=1), -k - 1, axis=1)[:, -k - 1 :]
+        n, m = np.nonzero(scores >= top[who].min(1)[:, None])
+        found.append((who[n], rows[m], scores[n, m]))
+
+    search_block(root, lifted, offer, limits, np.sqrt(((lifted - centre) ** 2).sum(1)))
+    out: list[list[tuple[int, int]]] = [[] for _ in q]
+    worst = top.min(1)
+    for who, rows, scores in found:
+        keep = scores >= worst[who]
+        for n, r, s in zip(who[keep].tolist(), rows[keep].tolist(), scores[keep].tolist()):
+            out[n].append((int(s), r))
+    return out
