@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,17 +42,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@functools.cache
+def _powers(variant: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``2 ** bits`` powers of a multiplier and of its inverse."""
+    base = int(_MULTIPLIERS[variant])
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+
+
 def runs(hashes: np.ndarray, size: int, variant: int = 0) -> np.ndarray:
     """Hash of every ``size`` consecutive words, in order; empty if there are fewer."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     base = mixed(hashes + np.uint64(variant))
-    total = base[:n].copy()
-    for j in range(1, size):
-        total *= _MULTIPLIERS[variant]
-        total += base[j : j + n]
-    return mixed(total)
+    if size <= 8:
+        total = base[:n].copy()
+        for j in range(1, size):
+            total *= _MULTIPLIERS[variant]
+            total += base[j : j + n]
+        return mixed(total)
+    # the same sums as differences of one running sum
+    power, inverse = _powers(variant, max(12, (len(hashes) - 1).bit_length()))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(base * inverse[: len(hashes)], out=sums[1:])
+    return mixed((sums[size:] - sums[:n]) * power[size - 1 : size - 1 + n])
 
 
 def shingle_set(words: list[bytes], size: int, cache: WordHashes) -> np.ndarray:
