@@ -17,8 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of records in a frame before it is closed, and of frames in a bundle.
-FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 64 * 1024 * 1024
+#: Bytes of records in a frame before it is closed; of frames in a bundle, compressed and plain (its reader holds them).
+FRAME_BYTES, BUNDLE_BYTES, PLAIN_BYTES = 256 * 1024, 64 * 1024 * 1024, 192 * 1024 * 1024
 # fixed values of the seekable format and of WARC
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +59,9 @@ def read_archive(index: DataFrame) -> DataFrame:
     a payload that does not match its digest is an error."""
     key = index.schema["project_id"].dataType.simpleString()
     fields = f"project_id {key}, uri string, record_type string, payload_bytes long, payload_digest string, refers_to {key}, payload binary"
-    return index.groupBy("bundle").applyInArrow(_reader(), fields)
+    # a task for each bundle: the index is small, what it names is not, so the size of its rows tells nothing
+    bundles = max(1, index.agg(F.count_distinct("bundle")).first()[0])
+    return index.repartition(bundles, "bundle").groupBy("bundle").applyInArrow(_reader(), fields)
 
 
 def record_urn(project_id) -> str:
@@ -125,7 +127,7 @@ class _Bundle:
         filesystem, path = _filesystem(self.name)
         filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.stream = filesystem.open_output_stream(path, compression=None)
-        self.sizes, self.buffer, self.held, self.written, self.rows = [], [], 0, 0, []
+        self.sizes, self.buffer, self.held, self.written, self.plain, self.rows = [], [], 0, 0, 0, []
 
     def add(self, project_id, kind: str, raw: bytes) -> None:
         self.rows.append((project_id, kind, self.name, len(self.sizes), self.held, len(raw)))
@@ -140,6 +142,7 @@ class _Bundle:
             self.stream.write(frame)
             self.sizes.append((len(frame), self.held))
             self.written += len(frame)
+            self.plain += self.held
             self.buffer, self.held = [], 0
 
     def close(self) -> list[tuple]:
@@ -159,7 +162,7 @@ def _writer(folder: str):
                     bundle = bundle or _Bundle(folder)
                     raw = record(row["project_id"], row["uri"], row["document"].encode(), row["refers_to"])
                     bundle.add(row["project_id"], "response" if row["refers_to"] is None else "revisit", raw)
-                    if bundle.written >= BUNDLE_BYTES:
+                    if bundle.written >= BUNDLE_BYTES or bundle.plain >= PLAIN_BYTES:
                         yield _index_batch(bundle.close(), kind)
                         bundle = None
         if bundle:
