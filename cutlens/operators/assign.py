@@ -22,6 +22,8 @@ from cutlens.session import cut_lineage
 PROJECT = ["project_id"]
 SLOT = ["project_id", "slot_id"]
 W = K.WEIGHTS
+#: Prints of a cell from which it is dealt to blocks.
+CELL_PRINTS = 1024
 
 
 def visuals(assets: DataFrame) -> DataFrame:
@@ -134,7 +136,9 @@ def near_duplicates(features: DataFrame, threshold: float = W["duplicate"]) -> D
 
     Close prints have close projections, so assets meet only inside cells of width ``threshold``
     along two fixed directions of the print, and the exact distance decides. Every pair within
-    the threshold shares a cell, so nothing is missed.
+    the threshold shares a cell, so nothing is missed. A cell of more than ``CELL_PRINTS`` prints is dealt to
+    blocks, and each pair of blocks is a key of its own: no key meets more than that many prints on either side,
+    however many share a cell.
     """
     def along(step: int) -> Column:
         # unit direction: alternate signs with period `step`
@@ -144,9 +148,15 @@ def near_duplicates(features: DataFrame, threshold: float = W["duplicate"]) -> D
     cells = features.filter("print IS NOT NULL AND size(print) > 0").select(
         "project_id", "asset_id", "print", F.floor(along(1) / threshold).alias("_u"), F.floor(along(2) / threshold).alias("_v"))
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    at = ["project_id", "_u", "_v"]
     left = cells.withColumn("_u", near("_u")).withColumn("_v", near("_v"))
-    right = cells.select("project_id", F.col("asset_id").alias("other_id"), F.col("print").alias("_other"), "_u", "_v")
-    joined = left.join(right, ["project_id", "_u", "_v"]).filter("asset_id < other_id")
+    crowd = left.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / CELL_PRINTS).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    own, every = lambda c: F.pmod(F.xxhash64(c), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    left = left.join(crowd, at, "left").withColumn("_a", own("asset_id")).withColumn("_b", every).drop("_parts")
+    right = cells.join(crowd, at, "left").withColumn("_b", own("asset_id")).withColumn("_a", every)
+    right = right.select("project_id", F.col("asset_id").alias("other_id"), F.col("print").alias("_other"), "_u", "_v", "_a", "_b")
+    joined = left.join(right, [*at, "_a", "_b"]).filter("asset_id < other_id")
     return joined.withColumn("distance", feature_distance(F.col("print"), F.col("_other"))).filter(F.col("distance") < threshold).select(
         "project_id", "asset_id", "other_id", "distance")
 

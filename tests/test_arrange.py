@@ -33,6 +33,19 @@ def test_auction_equals_brute_force(spark):
     assert cheapest_options(costs.limit(0)).count() == 0
 
 
+def test_near_prints_in_a_crowded_cell(spark, monkeypatch):
+    monkeypatch.setattr(assign, "CELL_PRINTS", 8)
+    rng = random.Random(5)
+    prints = [("hot", i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(90)] + [("p", i, [rng.uniform(-3, 3) for _ in range(4)]) for i in range(60)]
+    prints += [("hot", 90, None), ("hot", 91, []), ("hot", 92, [0.0]), ("hot", 93, prints[0][2]), (None, 94, prints[0][2])]
+    df = spark.createDataFrame(prints, "project_id string, asset_id int, print array<double>").repartition(3)
+    found = assign.near_duplicates(df)
+    whole = [p for p in prints if p[2]]
+    near = lambda a, b: len(a[2]) == len(b[2]) and sum((x - y) ** 2 for x, y in zip(a[2], b[2])) ** 0.5 < 0.55
+    assert sorted((r.project_id, r.asset_id, r.other_id) for r in found.collect()) == sorted(
+        (a[0], a[1], b[1]) for a, b in itertools.combinations(sorted(whole, key=lambda p: p[1]), 2) if a[0] == b[0] and a[1] != b[1] and near(a, b))
+
+
 def test_exchanges_lower_cost_plus_likeness(spark):
     prints = {"a": [0.0, 0.0], "b": [0.1, 0.0], "c": [5.0, 5.0], "d": [9.0, 0.0]}
     names = ["a", "b", "c", "d"]
