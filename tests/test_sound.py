@@ -117,3 +117,15 @@ def test_arch_runs_from_intro_over_peak_to_outro(spark):
     got = music.music_sections(energy, spark.createDataFrame([("t", 60.0)], "track_id string, track_seconds double")).orderBy("start").collect()
     kinds = [r.kind for r in got]
     assert kinds[0] == "intro" and kinds[-1] == "outro" and "peak" in kinds
+
+
+def test_speech_row_for_short_and_coarse_spectra(spark):
+    from cutlens.operators.audio import speech_presence
+
+    spectra = [("short", k, [1.0] * 513) for k in range(5)] + [("coarse", k, [1.0, 2.0, 3.0]) for k in range(20)] + [("fine", k, [1.0] * 513) for k in range(20)]
+    df = spark.createDataFrame(spectra, "track_id string, k int, mags array<double>")
+    onset = spark.createDataFrame([(t, k, float(k % 4 == 0)) for t in ("coarse", "fine") for k in range(80)], "track_id string, k bigint, v double")
+    found = {r.track_id: r for r in speech_presence(df, onset).collect()}
+    assert found["short"].basis == "insufficient audio for speech heuristic" and found["short"].confidence == 0.2 and not found["short"].present
+    assert found["coarse"].basis == "spectrogram too coarse for band analysis" and found["coarse"].confidence == 0.2 and not found["coarse"].present
+    assert found["fine"].basis.startswith("300-3400Hz band ratio") and found["fine"].confidence > 0.2
